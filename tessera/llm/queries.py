@@ -5,21 +5,57 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .arrow_stream import read_documents, write_tokens
 from .exact import exact_dedup
+from .packing import pack_pieces, token_pieces
+from .sharding import shard_documents
+from .simhash import simhash_dedup
+from ._scale import materialize
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all `documents` in sequences of at most 2048 ids."""
+    pieces = materialize(token_pieces(_read(spark, sf_dir, "documents"), with_ids=False), "pieces")
+    return pack_pieces(pieces).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents` as Arrow files of token ids, read back."""
+    return read_documents(write_tokens(_read(spark, sf_dir, "documents")))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents` in 16 shards of nearly equal bytes; equal texts share a shard."""
+    d = shard_documents(_read(spark, sf_dir, "documents"))
+    return d.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash components of `documents`."""
+    return simhash_dedup(_read(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal texts of `documents`: the largest doc_id stays."""
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
+    "op2_token_files": op2_token_files,
+    "op3_sharding": op3_sharding,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_simhash": op8_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
