@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .arrow_stream import read_documents, write_tokens
 from .exact import exact_dedup
+from .mixing import MIX_SQL, mix_sources
 from .packing import pack_pieces, token_pieces
 from .sharding import shard_documents
 from .simhash import simhash_dedup
@@ -40,6 +41,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mix of all `documents` with sources weighing 1, 2, 3, repeating."""
+    return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of `documents`."""
     return simhash_dedup(_read(spark, sf_dir, "documents"))
@@ -54,11 +60,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_token_files": op2_token_files,
     "op3_sharding": op3_sharding,
+    "op5_mixing": op5_mixing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash": op8_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_mixing": MIX_SQL.replace("{docs}", "documents"),
     "op7_exact_dedup": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
         SELECT doc_id,
