@@ -11,8 +11,10 @@ from .arrow_stream import read_documents, write_tokens
 from .exact import exact_dedup
 from .mixing import MIX_SQL, mix_sources
 from .packing import pack_pieces, token_pieces
+from .quality import score_quality, train_quality
 from .sharding import shard_documents
 from .simhash import simhash_dedup
+from .toxicity import score_toxicity, train_toxicity
 from ._scale import materialize
 
 
@@ -51,18 +53,33 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text of `documents`."""
+    docs = _read(spark, sf_dir, "documents")
+    return score_toxicity(docs, train_toxicity(docs, _read(spark, sf_dir, "labels")))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal texts of `documents`: the largest doc_id stays."""
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every row of `documents` by two co-trained views."""
+    docs = _read(spark, sf_dir, "documents")
+    scored = score_quality(docs, train_quality(docs, _read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.col("quality_score").alias("score"), F.col("quality_keep").alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_token_files": op2_token_files,
     "op3_sharding": op3_sharding,
     "op5_mixing": op5_mixing,
+    "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash": op8_simhash,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
