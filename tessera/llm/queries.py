@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_stream import read_documents, write_tokens
+from .caps import cap_links
 from .exact import exact_dedup
 from .mixing import MIX_SQL, mix_sources
 from .packing import pack_pieces, token_pieces
@@ -43,6 +44,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at cosine 0.98 or more among all `embeddings` of a label."""
+    return cap_links(_read(spark, sf_dir, "embeddings"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mix of all `documents` with sources weighing 1, 2, 3, repeating."""
     return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_token_files": op2_token_files,
     "op3_sharding": op3_sharding,
+    "op4_cap_filters": op4_cap_filters,
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
