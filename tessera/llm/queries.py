@@ -15,6 +15,7 @@ from .packing import pack_pieces, token_pieces
 from .quality import score_quality, train_quality
 from .sharding import shard_documents
 from .simhash import simhash_dedup
+from .suffixes import remove_repeats
 from .toxicity import score_toxicity, train_toxicity
 from ._scale import materialize
 
@@ -70,6 +71,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of `documents` in 50-byte strings that a smaller document has too."""
+    return remove_repeats(_read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every row of `documents` by two co-trained views."""
     docs = _read(spark, sf_dir, "documents")
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash": op8_simhash,
+    "op9_repeats": op9_repeats,
     "op10_quality": op10_quality,
 }
 
