@@ -77,6 +77,70 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_epochs: int)
     )
 
 
+def _draws(docs: DataFrame, seed: str, ranges: int, cols: tuple[str, str, str], weight: Column | None, keep: bool) -> DataFrame:
+    """size, key and key range of each row, beside (doc_id, source) or, with `keep`, all of `docs`."""
+    doc_id, text, source = cols
+    d = docs if keep else docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"))
+    if not keep:
+        doc_id, text, source = "doc_id", "text", "source"
+    size = word_count(text)
+    key = exponential_key(doc_id, seed) / (quality_weight(text, size) if weight is None else weight)
+    d = d.withColumn("_size", size).withColumn("_key", key)
+    # monotone in the key, near uniform for keys of rate one half to one
+    rng = F.least(F.floor((F.lit(1.0) - F.exp(F.col("_key") * -0.75)) * ranges), F.lit(ranges - 1)).cast("int")
+    d = d.withColumn("_rng", rng).withColumn("_id", F.coalesce(F.col(doc_id), F.lit(-(1 << 63)))).withColumn("_source", F.col(source))
+    return d if keep else d.drop("text")
+
+
+def mix_plan(draws: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """One row a source: s, source_size, target, full epochs, and where the fractional selection ends.
+
+    Documents of a range before `cut`, and of `cut` up to (cut_key, cut_id), are taken once more.
+    """
+    per = materialize(draws.groupBy("_source", "_rng").agg(F.sum("_size").alias("n")), "ranges")
+    sizes = per.groupBy(F.col("_source").alias("source")).agg(F.sum("n").alias("source_size"))
+    plan = source_targets(sizes, weights, max_epochs).withColumnRenamed("source", "s")
+    plan = plan.withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    plan = materialize(plan.withColumn("rest", F.col("target") - F.col("full") * F.col("source_size")), "plan")
+    before = W.partitionBy("_source").orderBy("_rng").rowsBetween(W.unboundedPreceding, -1)
+    cut = (
+        per.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        .join(plan, F.expr("_source <=> s"))
+        .where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest")))
+        .groupBy("s")
+        .agg(F.max_by("_rng", "before").alias("cut"), F.max("before").alias("cut_before"))
+    )
+    plan = materialize(plan.alias("p").join(cut.alias("c"), F.expr("p.s <=> c.s"), "left").select("p.*", "cut", "cut_before"), "cuts")
+    inside = W.partitionBy("s").orderBy("_key", "_id").rowsBetween(W.unboundedPreceding, -1)
+    edge = (
+        _with_plan(draws, plan)
+        .where(F.col("_rng") == F.col("cut"))
+        .withColumn("at", F.col("cut_before") + F.coalesce(F.sum("_size").over(inside), F.lit(0)) + F.col("_size") / 2)
+        .where(F.col("at") <= F.col("rest"))
+        .groupBy(F.col("s").alias("e"))
+        .agg(F.max(F.struct("_key", "_id")).alias("last"))
+    )
+    return materialize(
+        plan.join(edge, F.expr("s <=> e"), "left").select(
+            "s", "source_size", "target", "full", "rest", "cut", "cut_before", F.col("last._key").alias("cut_key"), F.col("last._id").alias("cut_id")
+        ),
+        "mix",
+    )
+
+
+def _with_plan(draws: DataFrame, plan: DataFrame) -> DataFrame:
+    """Each row beside its source's; a plan of few sources is sent to the rows, a longer one joined."""
+    few = plan.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
+    return draws.join(F.broadcast(plan) if few else plan, F.expr("_source <=> s"))
+
+
+def _epochs() -> Column:
+    upto = F.struct("_key", "_id") <= F.struct(F.col("cut_key").alias("_key"), F.col("cut_id").alias("_id"))
+    once = (F.col("_rng") < F.col("cut")) | ((F.col("_rng") == F.col("cut")) & F.col("cut_key").isNotNull() & upto)
+    # without a cut the fraction is nothing
+    return F.col("full") + F.coalesce(once, F.lit(False)).cast("long")
+
+
 def mix_sources(
     docs: DataFrame,
     weights: tuple[int, ...] = (1, 2, 3),
@@ -95,52 +159,28 @@ def mix_sources(
     as less than half of a document lies past the target. Keys depend on doc_id
     and weight only, so reruns agree; equal keys go by doc_id. A null text has size 0, a null
     source is a source of its own (last), rows with a null doc_id share one draw, and
-    repeated rows draw alike and are ordered arbitrarily among themselves (they are equal). A
-    source without words has target 0. `weight` (a Column over doc_id, text, source, size; positive)
-    replaces `quality_weight`. Other columns are ignored. An empty table gives no rows.
+    repeated rows are taken alike. A source without words has target 0. `weight` (a positive
+    Column over `docs`) replaces `quality_weight`. Other columns are ignored. An empty table
+    gives no rows.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
-    d = d.withColumn("size", word_count("text"))
-    d = d.withColumn("key", exponential_key("doc_id", seed) / (quality_weight("text", F.col("size")) if weight is None else weight))
-    # the key's range: monotone in the key, near uniform for keys of rate one half to one
-    d = d.withColumn("rng", F.least(F.floor((F.lit(1.0) - F.exp(F.col("key") * -0.75)) * ranges), F.lit(ranges - 1)).cast("int"))
-    d = materialize(d.select("doc_id", "source", "size", "key", "rng"), "draws")
-    per = materialize(d.groupBy("source", "rng").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("c")), "ranges")
-    sizes = per.groupBy("source").agg(F.sum("n").alias("source_size"))
-    plan = source_targets(sizes, weights, max_epochs)
-    plan = (
-        plan.withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-        .withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
-        .withColumnRenamed("source", "s")
-    )
-    plan = materialize(plan, "plan")
-    few = plan.count() <= FEW_SOURCES
-    hint = F.broadcast if few else (lambda x: x)
-    before = W.partitionBy("source").orderBy("rng").rowsBetween(W.unboundedPreceding, -1)
-    cut = (
-        per.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .join(hint(plan), F.expr("source <=> s"))
-        .where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest")))
-        .groupBy("s")
-        .agg(F.max_by("rng", "before").alias("cut"), F.max("before").alias("cut_before"))
-    )
-    plan = materialize(
-        plan.alias("p").join(cut.alias("c"), F.expr("p.s <=> c.s"), "left").select("p.*", "cut", "cut_before"), "cuts"
-    )
-    x = d.join(hint(plan), F.expr("source <=> s"))
-    # without a cut the fraction is the whole source (rest = source_size after rounding) or nothing
-    decided = x.where(F.coalesce(F.col("rng") != F.col("cut"), F.lit(True))).withColumn(
-        "once", F.coalesce((F.col("rng") < F.col("cut")).cast("long"), F.lit(0))
-    )
-    inside = W.partitionBy("s").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, -1)
-    edge = x.where(F.col("rng") == F.col("cut")).withColumn(
-        "once",
-        (F.col("cut_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2 <= F.col("rest")).cast("long"),
-    )
-    out = decided.unionByName(edge).withColumn("epochs", F.col("full") + F.col("once"))
-    return out.select(
-        "doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).alias("taken")
-    )
+    draws = materialize(_draws(docs, seed, ranges, (id_col, text_col, source_col), weight, False), "draws")
+    x = _with_plan(draws, mix_plan(draws, weights, max_epochs))
+    x = x.withColumn("epochs", _epochs()).withColumn("size", F.col("_size"))
+    return x.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(
+    docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS, seed: str = SEED, ranges: int = 4096
+) -> DataFrame:
+    """The mix itself: each row of `docs` (doc_id, text, source and others) as often as it is taken.
+
+    Rows are as in `docs`, in no order. Decisions are those of `mix_sources`; texts are not shuffled.
+    """
+    cols = ("doc_id", "text", "source")
+    draws = materialize(_draws(docs, seed, ranges, cols, None, False), "draws")
+    x = _with_plan(_draws(docs, seed, ranges, cols, None, True), mix_plan(draws, weights, max_epochs))
+    x = x.withColumn("_epochs", _epochs()).where("_epochs > 0")
+    return x.withColumn("_copy", F.explode(F.expr("sequence(1, _epochs)"))).select(*docs.columns)
 
 
 #: DuckDB SQL for `mix_sources` with its defaults over table `documents` ({docs}).
