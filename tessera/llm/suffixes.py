@@ -508,11 +508,12 @@ def remove_repeats(
     texts = d.where(F.octet_length("bytes") >= match).select(db.alias("db"), "doc_id", "digest", "bytes")
     name = f"tessera_texts_{uuid.uuid4().hex}"
     # both sides are dealt by db alone, which the join may use as it is: texts are shuffled once
+    # (a semi-join would be pushed below the repartition and shuffle them again)
     strict = "spark.sql.requireAllClusterKeysForCoPartition"
     before = spark.conf.get(strict)
     spark.conf.set(strict, "false")
     try:
-        texts.repartition(p, "db").join(own.repartition(p, "db"), ["db", "doc_id", "digest"], "left_semi").write.bucketBy(p, "db").option(
+        texts.repartition(p, "db").join(own.repartition(p, "db"), ["db", "doc_id", "digest"]).write.bucketBy(p, "db").option(
             "path", new_path(spark, "texts")
         ).saveAsTable(name)
     finally:
