@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import document_queries, retrieval_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = retrieval_queries.QUERIES | document_queries.QUERIES
+ORACLE_SQL = retrieval_queries.ORACLE_SQL | document_queries.ORACLE_SQL
