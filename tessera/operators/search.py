@@ -122,13 +122,25 @@ class KeywordIndex:
     @staticmethod
     def build(chunks: DataFrame, tokenize: Callable[[Column], Column] = tx.words, content: str = "content") -> KeywordIndex:
         t = chunks.select(F.col("id").alias("chunk_id"), tokenize(F.coalesce(F.col(content), F.lit(""))).alias("t"))
-        t = t.withColumn("dl", F.size("t"))
-        # no rows without tokens in the postings, but they count in the corpus
-        stats = t.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-        postings = t.select("chunk_id", "dl", F.explode("t").alias("term")).groupBy("term", "chunk_id").agg(
-            F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")
+        # a chunk without tokens has one posting of no term, so that it counts in the corpus; the
+        # length comes with every posting, so statistics need no second reading of the texts
+        t = t.select("chunk_id", F.size("t").alias("dl"), F.explode_outer("t").alias("term"))
+        postings = t.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+        return KeywordIndex(postings, KeywordIndex._stats(postings), tokenize)
+
+    @staticmethod
+    def _stats(postings: DataFrame) -> DataFrame:
+        """(n, avgdl): a chunk's shares tf / dl add up to one."""
+        s = postings.agg(
+            F.round(F.sum(F.when(F.col("term").isNull(), 1.0).otherwise(F.col("tf") / F.col("dl")))).alias("n"),
+            F.sum(F.when(F.col("term").isNotNull(), F.col("tf"))).alias("tokens"),
         )
-        return KeywordIndex(postings, stats, tokenize)
+        return s.select("n", (F.coalesce("tokens", F.lit(0)) / F.col("n")).alias("avgdl"))
+
+    def cached(self) -> KeywordIndex:
+        """The same index with its postings kept by the executors; a lost part is made again."""
+        kept = self.postings.persist()
+        return KeywordIndex(kept, KeywordIndex._stats(kept), self.tokenize)
 
     def save(self, path: str) -> None:
         self.postings.repartition("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")

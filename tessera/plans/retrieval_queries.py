@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as tx
+from ..functions.layout import spread
 from ..operators import evaluation as ev
 from ..operators import generation as gen
 from ..operators import post, search
@@ -15,6 +16,8 @@ from ..sources.store import TableStore, sync_changes, sync_report
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 K = 5
+#: Tables whose rows are work enough to spread over the cores.
+TEXTS = ("documents", "conversations", "pages")
 DIGITS = 6
 
 
@@ -31,7 +34,8 @@ def query(sql: str | None = None):
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
 
 
 def chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +47,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyword_hits(spark: SparkSession, sf_dir: str, k: int = K, b: float = 0.75) -> DataFrame:
-    index = search.KeywordIndex.build(chunks_of(spark, sf_dir))
+    index = search.KeywordIndex.build(chunks_of(spark, sf_dir)).cached()
     return index.search(questions(spark, sf_dir), k, b=b, digits=DIGITS)
 
 
@@ -188,7 +192,7 @@ _ARMS = "WITH " + bm25_sql(10) + "," + bm25_sql(10, 0.0, "flat")
 
 
 def _arms(spark, sf_dir):
-    index = search.KeywordIndex.build(chunks_of(spark, sf_dir))
+    index = search.KeywordIndex.build(chunks_of(spark, sf_dir)).cached()
     q = questions(spark, sf_dir)
     return index.search(q, 2 * K, digits=DIGITS), index.search(q, 2 * K, b=0.0, digits=DIGITS)
 
@@ -332,7 +336,7 @@ def multi_query_merge(spark, sf_dir):
     q = questions(spark, sf_dir)
     half = q.select((F.col("query_id") * 2 + 1).alias("query_id"), F.substr("query", F.lit(1), F.floor(F.length("query") / 2).cast("int")).alias("query"))
     both = q.withColumn("query_id", F.col("query_id") * 2).unionByName(half)
-    hits = search.KeywordIndex.build(chunks_of(spark, sf_dir)).search(both, K, digits=DIGITS)
+    hits = search.KeywordIndex.build(chunks_of(spark, sf_dir)).cached().search(both, K, digits=DIGITS)
     hits = hits.withColumn("sub_index", (F.col("query_id") % 2).cast("int")).withColumn("query_id", F.floor(F.col("query_id") / 2))
     return post.merge_subqueries(hits).select("query_id", "chunk_id", "sub_index", "rank")
 
