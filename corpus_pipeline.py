@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._scale import materialize, text_or_empty
+from tessera.llm._scale import boxed, materialize, text_or_empty, unboxed
 from tessera.llm.exact import exact_dedup
 from tessera.llm.mixing import mixed_documents
 from tessera.llm.packing import pack_pieces, token_pieces
@@ -16,31 +16,32 @@ from tessera.llm.simhash import simhash_dedup
 FEW_DROPS = 200_000
 
 
-def _without(docs: DataFrame, drops: DataFrame, on: list[str]) -> DataFrame:
-    """`docs` less the rows whose `on` columns are in `drops`; texts move only if the drops are many."""
+def _without(rows: DataFrame, drops: DataFrame, on: list[str]) -> DataFrame:
+    """Boxed rows less those whose `on` columns are in `drops`; texts move only if the drops are many."""
     drops = materialize(drops, "drops")
     few = drops.limit(FEW_DROPS + 1).count() <= FEW_DROPS
-    return docs.join(F.broadcast(drops) if few else drops, on, "left_anti")
+    return unboxed(rows.join(F.broadcast(drops) if few else drops, on, "left_anti"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained quality classifier rejects go."""
     model = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, model).where("quality_keep").select(*docs.columns)
+    rows = boxed(docs, text="text", lang="lang", source="source", n_chars="n_chars")
+    return unboxed(score_quality(rows, model).where("quality_keep"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest doc_id stays. Rows without a doc_id all stay."""
     found = materialize(exact_dedup(docs), "exact")
-    drops = found.where("not kept and doc_id is not null").select("doc_id", F.col("text_sha256").alias("_sha")).distinct()
-    keyed = docs.withColumn("_sha", F.sha2(text_or_empty("text").cast("binary"), 256))
-    return _without(keyed, drops, ["doc_id", "_sha"]).select(*docs.columns)
+    drops = found.where("not kept and doc_id is not null").select("doc_id", F.col("text_sha256").alias("sha")).distinct()
+    rows = boxed(docs, doc_id="doc_id", sha=F.sha2(text_or_empty("text").cast("binary"), 256))
+    return _without(rows, drops, ["doc_id", "sha"])
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the smallest doc_id stays. Rows without a doc_id all stay."""
-    found = simhash_dedup(docs)
-    return _without(docs, found.where("doc_id != component_id").select("doc_id").distinct(), ["doc_id"]).select(*docs.columns)
+    drops = simhash_dedup(docs).where("doc_id != component_id").select("doc_id").distinct()
+    return _without(boxed(docs, doc_id="doc_id"), drops, ["doc_id"])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

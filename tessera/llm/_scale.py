@@ -109,9 +109,9 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     """Components of an undirected graph given as rows (a, b) of long node ids.
 
     Alternates large-star and small-star rounds; each round's edges are written to the
-    shared folder. Returns (node, component) for every node that has an edge to another
-    node, where component is the smallest node id reachable. Self-loops, nulls and
-    repeated edges are ignored. Nodes without edges do not appear.
+    shared folder. Returns (node, component) for every node that can reach a smaller one,
+    where component is the smallest node id reachable. Nodes that are the smallest of their
+    component do not appear. Self-loops, nulls and repeated edges are ignored.
     """
     e = materialize(
         edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct(),
@@ -150,3 +150,13 @@ def with_components(nodes: DataFrame, node: str, links: DataFrame, out: str) ->
 
 def text_or_empty(c: str | Column = "text") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+
+
+def boxed(docs: DataFrame, **cols: Column | str) -> DataFrame:
+    """Each whole row of `docs` as one column `_row`, beside the named columns: whatever columns
+    `docs` has, their names cannot clash. `unboxed` gives the rows back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in cols.items()])
+
+
+def unboxed(rows: DataFrame) -> DataFrame:
+    return rows.select("_row.*")

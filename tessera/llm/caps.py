@@ -39,7 +39,9 @@ def code(dim: int, table: int, codewords: int) -> tuple[np.ndarray, tuple[np.nda
     halves = [h for h in np.array_split(np.arange(dim), 2) if len(h)]
     words = []
     for h in halves:
-        w = rng.standard_normal((codewords, len(h)))
+        # few dimensions have few directions that differ much
+        n = min(codewords, 2 * 4 ** min(len(h) - 1, 16))
+        w = rng.standard_normal((n, len(h))) if len(h) > 1 else np.array([[1.0], [-1.0]])
         words.append(w / np.linalg.norm(w, axis=1, keepdims=True) / np.sqrt(len(halves)))
     return rotation, tuple(words)
 
@@ -61,7 +63,7 @@ def list_decode(x: np.ndarray, table: int, codewords: int, slack: float) -> tupl
         else:
             b = np.flatnonzero(short[1][i] <= slack)
             ok = short[0][i][a][:, None] + short[1][i][b][None, :] <= slack
-            f = (a[:, None] * codewords + b[None, :])[ok]
+            f = (a[:, None] * len(words[1]) + b[None, :])[ok]
         rows.append(np.full(len(f), i))
         dirs.append(f + table * codewords * codewords)
     return np.concatenate(rows) if rows else np.zeros(0, int), np.concatenate(dirs) if dirs else np.zeros(0, int)

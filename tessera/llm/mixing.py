@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._scale import materialize
+from ._scale import boxed, materialize, unboxed
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
@@ -178,9 +178,10 @@ def mixed_documents(
     """
     cols = ("doc_id", "text", "source")
     draws = materialize(_draws(docs, seed, ranges, cols, None, False), "draws")
-    x = _with_plan(_draws(docs, seed, ranges, cols, None, True), mix_plan(draws, weights, max_epochs))
+    rows = boxed(docs, doc_id="doc_id", text="text", source="source")
+    x = _with_plan(_draws(rows, seed, ranges, cols, None, True), mix_plan(draws, weights, max_epochs))
     x = x.withColumn("_epochs", _epochs()).where("_epochs > 0")
-    return x.withColumn("_copy", F.explode(F.expr("sequence(1, _epochs)"))).select(*docs.columns)
+    return unboxed(x.select("_row", F.explode(F.expr("sequence(1, _epochs)")).alias("_copy")))
 
 
 #: DuckDB SQL for `mix_sources` with its defaults over table `documents` ({docs}).

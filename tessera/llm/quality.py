@@ -186,7 +186,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_C
     free = docs.select("doc_id").where("doc_id is not null").distinct().join(known, "doc_id", "left_anti")
     free = free.orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool).select("doc_id", F.lit(None).cast("int").alias("y"))
     chosen = sample.select("doc_id", F.col("y").cast("int").alias("y")).union(free)  # bounded by the parameters
-    rows = _features(docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "y int").collect()
+    own = docs.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(chosen), "doc_id")
+    rows = _features(own.dropDuplicates(["doc_id"]), "y int").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
     lab, fre = [r for r in rows if r["y"] is not None], [r for r in rows if r["y"] is None]
     stack = lambda rs, k, d: np.array([r[k] for r in rs]) if rs else np.zeros((0, d))

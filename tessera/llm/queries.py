@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.layout import spread
 from .arrow_stream import read_documents, write_tokens
 from .caps import cap_links
 from .exact import exact_dedup
@@ -21,7 +22,8 @@ from ._scale import materialize
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
