@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._scale import gapless_rank, materialize
+from ._scale import gapless_rank, parts
 from .tokens import encoder, tokenizer_path
 
 WINDOW = 2048
@@ -239,7 +239,8 @@ def pack_pieces(pieces: DataFrame, window: int = WINDOW, unit: int = UNIT, depth
             seq[m], slot[m] = sid[i] + rr[m] - first[i], sl[i]
         return pd.DataFrame({"sequence_id": seq, "slot": slot})
 
-    buckets = max(1, max(histogram.values(), default=0) // 4096)
+    # buckets of an eighth of a task's share of all pieces, whatever the commonest length's share
+    buckets = max(1, max(histogram.values(), default=0) * 8 * parts(pieces.sparkSession) // max(1, total))
     ranked = gapless_rank(p, ["unit"], ["doc_id", "start"], buckets, "rank").withColumn("at", place("unit", "rank"))
     w = W.partitionBy("sequence_id").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
     return (
