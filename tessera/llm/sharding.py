@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._scale import gapless_rank, materialize, text_or_empty
+from ._scale import gapless_rank, materialize, parts, text_or_empty
 
 KEY_BITS = 62
 FIRST_BITS = 14
@@ -158,7 +158,7 @@ def minimax_cuts(small: DataFrame, large: list[int], n_shards: int) -> tuple[int
 
 
 def shard_documents(
-    docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 256
+    docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, size, group_key, shard, slot, text_crc32 of every row of `docs`.
 
@@ -178,7 +178,7 @@ def shard_documents(
         ),
         "sizes",
     )
-    n, total = d.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    total = d.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     groups = materialize(d.groupBy("key").agg(F.sum("size").alias("bytes")), "groups")
     bound = max(1, total // (n_shards * LARGE_PART))
     # at most n_shards * LARGE_PART groups can reach this size
@@ -190,4 +190,4 @@ def shard_documents(
         shard = F.when(F.col("key") >= F.lit(k), F.lit(s)).otherwise(shard)
     table = d.sparkSession.createDataFrame([(k, s) for (_, k), s in zip(large, of_large)], "key long, own int")
     placed = d.join(F.broadcast(table), "key", "left").withColumn("shard", F.coalesce("own", shard).cast("int")).drop("own")
-    return gapless_rank(placed, ["shard"], ["doc_id", "key"], max(1, n // (n_shards * rows_per_bucket)), "slot")
+    return gapless_rank(placed, ["shard"], ["doc_id", "key"], max(1, 8 * parts(d.sparkSession) // n_shards), "slot")
