@@ -256,8 +256,9 @@ def _check(size: int, overlap: int) -> None:
 def fixed_size_cut(t: str, size: int, overlap: int, separator: str, strict: bool = False) -> list[tuple[str]]:
     """Windows that end at the last separator, else the last blank, in their second half.
 
-    The next window starts `overlap` before the end of the trimmed piece. Unless `strict`, a
-    piece no longer than the overlap ends the document; `strict` moves on by its raw length.
+    The next window starts the trimmed piece's length less `overlap` on, and a piece no longer than
+    the overlap ends the document. `strict` goes by the piece's length before trimming instead, so
+    that nothing is lost or repeated beyond the overlap.
     """
     if not t.strip():
         return []
@@ -275,12 +276,10 @@ def fixed_size_cut(t: str, size: int, overlap: int, separator: str, strict: bool
         piece = window[:end].strip()
         if piece:
             out.append((piece,))
-        step = len(piece) - overlap
-        if step <= 0:
-            if not strict:
-                break
-            step = max(1, end)
-        at += step
+        step = (end if strict else len(piece)) - overlap
+        if step <= 0 and not strict:
+            break
+        at += step if step > 0 else end
     return out
 
 
