@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -29,7 +31,7 @@ CUTS = {
     "word_bpe_49k.json": (rf"{_CONTRACTIONS}|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+", True),
 }
 #: Pieces a worker remembers before it starts over.
-CACHE = 500_000
+CACHE = 1_000_000
 LONGEST = 64
 
 
@@ -50,27 +52,39 @@ class Encoder(dict):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype(dtype)
+        native = sys.byteorder == "little" and self.dtype.kind == "u"
+        self.code = {2: "H", 4: "I"}.get(self.dtype.itemsize) if native else None
         pattern, self.lower = CUTS.get(os.path.basename(path), (None, False))
         self.cut = pattern and re.compile(pattern).findall
         self.odd = re.compile(f"[^{_PLAIN}]").search
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes() if self.code else np.array(ids, self.dtype).tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.whole(piece)
-        if len(piece) <= LONGEST:
-            if len(self) >= CACHE:
-                self.clear()
-            self[piece] = ids
-        return ids
+    def whole(self, text: str) -> bytes:
+        return self._bytes(self.library.encode(text, add_special_tokens=False).ids)
+
+    def _met(self, pieces: list[str], found: list[bytes | None]) -> list[bytes]:
+        """`found` with what the cache lacks, which the library encodes in one call."""
+        new = list({p for p, v in zip(pieces, found) if v is None})
+        got = dict(zip(new, (self._bytes(e.ids) for e in self.library.encode_batch_fast(new, add_special_tokens=False))))
+        out = [got[p] if v is None else v for p, v in zip(pieces, found)]
+        if len(self) + len(got) > CACHE:
+            self.clear()
+        self.update((p, v) for p, v in got.items() if len(p) <= LONGEST)
+        return out
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self.cut is None or not text.isascii() and self.odd(text):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, self.cut(text.lower() if self.lower else text)))
+        pieces = self.cut(text.lower() if self.lower else text)
+        found = list(map(self.get, pieces))
+        try:
+            return b"".join(found)
+        except TypeError:  # a piece is not in the cache yet
+            return b"".join(self._met(pieces, found))
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
