@@ -66,16 +66,16 @@ def select_sentences(results: DataFrame, llm, query: str = "query", content: str
     from .providers import chat_column
 
     s = tx.sentences(F.col(content))
-    listed = F.array_join(F.transform(s, lambda x, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), tx.trim(x))), "\n")
+    listed = tx.let(s, lambda x: F.array_join(F.transform(x, lambda v, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), tx.trim(v))), "\n"))
     ask = F.concat(F.lit("问题："), F.col(query), F.lit("\n"), listed, F.lit("\n请返回与问题相关的句子编号，没有则返回 NONE。"))
     d = results.withColumn("_s", s).withColumn("_a", F.when(F.size("_s") > 1, chat_column(llm, ask)))
     numbers = F.transform(F.regexp_extract_all("_a", F.lit(r"(\d+)")), lambda x: x.try_cast("int"))
     none = F.upper(tx.trim(F.col("_a"))).contains("NONE")
-    keep = F.filter(F.col("_s"), lambda x, i: F.array_contains(numbers, i))
+    keep = tx.let(numbers, lambda ns: F.filter(F.col("_s"), lambda x, i: F.array_contains(ns, i)))
     text = (
         F.when(F.size("_s") <= 1, F.col(content))
         .when(none, None)
-        .when(F.size(numbers) > 0, F.when(F.size(keep) > 0, F.array_join(F.transform(keep, tx.trim), " ")))
+        .when(F.size(numbers) > 0, F.nullif(F.array_join(F.transform(keep, tx.trim), " "), F.lit("")))
         .otherwise(F.col(content))
     )
     return d.withColumn(content, text).where(F.col(content).isNotNull()).drop("_s", "_a")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import document_queries, retrieval_queries
+from . import document_queries, provider_queries, retrieval_queries
 
-QUERIES = retrieval_queries.QUERIES | document_queries.QUERIES
-ORACLE_SQL = retrieval_queries.ORACLE_SQL | document_queries.ORACLE_SQL
+_MODULES = (retrieval_queries, document_queries, provider_queries)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
