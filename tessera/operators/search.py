@@ -111,9 +111,10 @@ def vector_search_arrow(queries: DataFrame, chunks: DataFrame, k: int = 5, thres
 
 
 class KeywordIndex:
-    """Inverted index: postings (term, chunk_id, tf, dl), document frequencies and corpus size.
+    """Index partitioned by chunk: postings (chunk_id, term, tf, dl) and corpus statistics.
 
-    Build once and store; scoring touches only the postings of query terms.
+    Build once and store. Query terms, few, go to all parts; each part adds up its own chunks'
+    scores and keeps its best, so only those are shuffled.
     """
 
     def __init__(self, postings: DataFrame, stats: DataFrame, tokenize: Callable[[Column], Column]):
@@ -125,7 +126,8 @@ class KeywordIndex:
         # a chunk without tokens has one posting of no term, so that it counts in the corpus; the
         # length comes with every posting, so statistics need no second reading of the texts
         t = t.select("chunk_id", F.size("t").alias("dl"), F.explode_outer("t").alias("term"))
-        postings = t.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+        # dealt by chunk, as the scores of a query's chunks are added up: searching then moves no postings
+        postings = t.repartition("chunk_id").groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
         return KeywordIndex(postings, KeywordIndex._stats(postings), tokenize)
 
     @staticmethod
@@ -143,7 +145,7 @@ class KeywordIndex:
         return KeywordIndex(kept, KeywordIndex._stats(kept), self.tokenize)
 
     def save(self, path: str) -> None:
-        self.postings.repartition("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+        self.postings.sortWithinPartitions("term").write.parquet(f"{path}/postings")
         self.stats.coalesce(1).write.parquet(f"{path}/stats")
 
     @staticmethod
