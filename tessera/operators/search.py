@@ -19,6 +19,8 @@ from ..functions.vectors import cosine, norm, score_from_cosine
 
 #: Queries up to which all of them are sent to every task that scans chunks.
 FEW_QUERIES = 20_000
+#: Query terms up to which they are sent to every part of an index (a row is under 100 bytes).
+FEW_TERMS = 500_000
 
 
 def top_k(hits: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), score: str = "score", tie: str = "chunk_id") -> DataFrame:
@@ -159,13 +161,17 @@ class KeywordIndex:
         """
         terms = queries.select("query_id", F.explode(self.tokenize(F.coalesce(F.col(text), F.lit("")))).alias("term"))
         terms = terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-        hit = self.postings.join(terms.select("term").distinct(), "term", "left_semi")
-        df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        n, avgdl = F.col("n"), F.col("avgdl")
-        idf = F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-        tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-        w = hit.join(df, "term").crossJoin(F.broadcast(self.stats)).select("term", "chunk_id", (idf * tf).alias("w"))
-        scored = w.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("qf")).alias("score"))
+        few = terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+        small = F.broadcast if few else (lambda d: d)
+        df = self.postings.join(small(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        n = F.col("n")
+        # all that a query term brings to a posting, in one table of a row a query and term
+        asked = terms.join(small(df), "term").crossJoin(F.broadcast(self.stats)).select(
+            "query_id", "term", (F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * F.col("qf")).alias("idf"), "avgdl"
+        )
+        hit = self.postings.join(small(asked), "term")
+        tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+        scored = hit.groupBy("query_id", "chunk_id").agg(F.sum(F.col("idf") * tf).alias("score"))
         if digits is not None:
             scored = scored.withColumn("score", F.round("score", digits))
         return with_source(top_k(scored.where((F.col("score") > 0) & (F.col("score") >= threshold)), k), "keyword")
