@@ -6,6 +6,7 @@ Every helper is a plain DataFrame program whose driver-side state is bounded.
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -33,8 +34,10 @@ def new_path(spark: SparkSession, label: str) -> str:
     path = f"{work_dir(spark)}/tessera-{label}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.deleteOnExit(where)
+    # with its scheme, so that a bare path means the cluster's default store to every reader
+    return re.sub("^file:/+", "file:///", fs.makeQualified(where).toString())
 
 
 def materialize(df: DataFrame, label: str, release: bool = False) -> DataFrame:
