@@ -204,24 +204,28 @@ def dedup_embedding(docs: DataFrame, threshold: float = 0.95, vector: str = "emb
     return docs.join(dropped.withColumnRenamed("o", order), order, "left_anti")
 
 
-def _components(pairs: DataFrame, rounds: int = 50) -> DataFrame:
-    """(o, c): smallest order key reachable, for every row that has a pair."""
+def _components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
+    """(o, c): smallest order key reachable, for every row that has a pair.
+
+    Large-star and small-star rounds in turn, as many as the logarithm of a component asks for
+    and not its diameter. Neither parts what is connected, so once every row points at one root
+    the roots are exact; if `rounds` do not get there it raises.
+    """
     spark = pairs.sparkSession
-    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     cut = (lambda d: d.checkpoint()) if spark.conf.get("spark.checkpoint.dir", None) else (lambda d: d.cache())
-    both = cut(both)
-    label = cut(both.select(F.col("a").alias("o")).distinct().withColumn("c", F.col("o")))
+    e = cut(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
     for _ in range(rounds):
-        known = label.select(F.col("o").alias("b"), F.col("c").alias("bc"))
-        near = both.join(known, "b").groupBy(F.col("a").alias("o")).agg(F.min("bc").alias("m"))
-        new = label.join(near, "o").select("o", F.least("c", "m").alias("c"), F.col("c").alias("old"))
-        hop = new.select(F.col("o").alias("c"), F.col("c").alias("hc"))
-        new = cut(new.join(hop, "c", "left").select("o", F.least("c", "hc").alias("c"), "old"))
-        moved = new.where("c != old").limit(1).count()
-        label = new.drop("old")
-        if not moved:
-            break
-    return label
+        ends = e.select(F.col("a").alias("o"), F.lit(1).alias("up"), F.lit(0).alias("root"))
+        ends = ends.union(e.select("b", F.lit(0), F.lit(1))).groupBy("o").agg(F.sum("up").alias("up"), F.max("root").alias("root"))
+        if not ends.where("up + root > 1").limit(1).count():
+            return e.select(F.col("a").alias("o"), F.col("b").alias("c")).union(e.select("b", "b").distinct())
+        both = e.union(e.select("b", "a"))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("x"))
+        e = cut(small.select("x.a", F.col("x.m").alias("b")).where("a > b").distinct())
+    raise RuntimeError("components did not settle")
 
 
 # --- chunking -----------------------------------------------------------------------------

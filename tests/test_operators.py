@@ -95,6 +95,30 @@ def test_dedup_embedding_equals_greedy(spark):
     assert sorted(r["ord"] for r in got.collect()) == sorted(k[0] for k in kept)
 
 
+def test_dedup_embedding_long_chain(spark):
+    """Each vector is near the next of a shuffled chain only; labels that crawl along it leave pieces."""
+    import numpy as np
+
+    n = 400
+    g = np.random.default_rng(5)
+    place, size = g.permutation(n), g.integers(1, 30, n)  # place[o]: where on the chain the row is
+    data = [(o, "x" * int(size[o]), [float(np.cos(place[o] * 0.012)), float(np.sin(place[o] * 0.012))]) for o in range(n)]
+    kept: list[int] = []
+    for o in range(n):
+        hit = next((i for i, k in enumerate(kept) if abs(place[o] - place[k]) <= 1), None)
+        if hit is None:
+            kept.append(o)
+        elif size[o] > size[kept[hit]]:
+            kept[hit] = o
+    docs = spark.createDataFrame(data, "ord int, content string, embedding array<double>")
+    assert sorted(r["ord"] for r in dx.dedup_embedding(docs, 0.9999).collect()) == sorted(kept)
+    at = np.argsort(place).tolist()
+    chain = spark.createDataFrame(list(zip(at, at[1:])), "a int, b int")
+    assert sorted(map(tuple, dx._components(chain).collect())) == [(o, 0) for o in range(n)]
+    with pytest.raises(RuntimeError):
+        dx._components(chain, 2)
+
+
 # --- chunks ---------------------------------------------------------------------------------------------------
 
 
