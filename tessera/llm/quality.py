@@ -121,16 +121,22 @@ class Quality:
 def co_train(
     xt: np.ndarray, xm: np.ndarray, y: np.ndarray, pool_t: np.ndarray, pool_m: np.ndarray, prior: float, rounds: int = ROUNDS, share: float = SHARE
 ) -> Quality:
-    """Fit both views. Every fifth labelled row is kept for calibration alone.
+    """Fit both views. Every fifth labelled row of a class is kept for calibration alone; where a
+    class has under five, all rows both fit and calibrate.
 
     `prior` is the share of label 1 among all labelled rows (the sample may be balanced);
     without both classes every score is that share, smoothed.
     """
     p = min(max(prior, 1e-3), 1 - 1e-3)
     base = float(np.log(p / (1 - p)))
-    keep = np.arange(len(y)) % 5 == 4
-    if len(y) < 20 or any(len(np.unique(y[m])) < 2 for m in (keep, ~keep)):
+    if len(np.unique(y)) < 2:
         return Quality(None, None, base)
+    keep = np.zeros(len(y), bool)
+    for label in (0, 1):
+        keep[np.flatnonzero(y == label)[4::5]] = True
+    train = ~keep
+    if len(np.unique(y[keep])) < 2:
+        train[:] = keep[:] = True
     data = {"text": (xt, pool_t), "meta": (xm, pool_m)}
     extra: dict[str, dict[int, int]] = {"text": {}, "meta": {}}  # pool row -> pseudo-label
     views: dict[str, View] = {}
@@ -139,8 +145,8 @@ def co_train(
     for r in range(rounds + 1):
         for v, (x, pool) in data.items():
             rows = list(extra[v])
-            xx = np.vstack([x[~keep], pool[rows]]) if rows else x[~keep]
-            yy = np.r_[y[~keep], [extra[v][i] for i in rows]]
+            xx = np.vstack([x[train], pool[rows]]) if rows else x[train]
+            yy = np.r_[y[train], [extra[v][i] for i in rows]]
             views[v] = View.fit(xx, yy, l2=1e-3 if v == "text" else 1e-2)
         if r == rounds or not len(pool_t):
             break
@@ -200,7 +206,7 @@ def score_quality(docs: DataFrame, model: Quality, threshold: float = THRESHOLD)
     """Every row of `docs` with all its columns, plus quality_score and quality_keep.
 
     quality_score (0 to 1, higher: label 1 likelier) comes from both views; rows below
-    `threshold` are not kept. Null texts count as empty, nulls in lang, source and n_chars
+    `threshold` are not kept; without a fitted model all are. Null texts count as empty, nulls in lang, source and n_chars
     are values of their own. Existing columns named like the two are replaced. An empty
     table gives no rows.
     """
@@ -218,5 +224,5 @@ def score_quality(docs: DataFrame, model: Quality, threshold: float = THRESHOLD)
 
     d = docs.drop("quality_score", "quality_keep")
     return d.withColumn("quality_score", score(F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))).withColumn(
-        "quality_keep", F.col("quality_score") >= threshold
+        "quality_keep", F.lit(True) if model.text is None or model.meta is None else F.col("quality_score") >= threshold
     )

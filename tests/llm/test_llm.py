@@ -333,6 +333,19 @@ def test_quality_held_out(spark, docs, none):
     assert score_quality(docs, flat).where("quality_score between 0 and 1").count() == docs.count()
 
 
+@pytest.mark.parametrize("good,bad", [(6, 12), (3, 60), (0, 8)])
+def test_quality_few_labels(spark, good, bad):
+    """Few labels or a rare class still give a model; one class alone gives none, and rejects nothing."""
+    clean = "The committee met again in spring, and its members agreed on number {}. They wrote a short report for the town."
+    junk = "CLICK {} || $$$ WIN WIN WIN !!!! ### buy buy buy buy |||| @@@ 99999 %%%% !!!!"
+    rows = [(i, (clean if i < good + 20 else junk).format(i), "en", "web", 100) for i in range(good + 20 + bad + 20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    lab = [(i, 1) for i in range(good)] + [(good + 20 + i, 0) for i in range(bad)]
+    kept = score_quality(d, train_quality(d, spark.createDataFrame(lab, "doc_id long, quality int"))).where("quality_keep")
+    want = range(good + 20) if good else range(len(rows))
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == list(want)
+
+
 # --- 7 exact -------------------------------------------------------------------------------------------------
 
 
