@@ -1,6 +1,6 @@
 """Quality classifier by co-training of a text-content view and a page-metadata view.
 
-Each view has a classifier of its own. In every round each labels the unlabelled pool,
+Each view has a classifier of its own. In every round each labels all unlabelled rows,
 and what it is most confident about joins the other's training set. At the end both views
 are calibrated on labelled rows that no round has used, and their log-odds combined.
 """
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,13 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._linear import logistic, platt, sigmoid
+from ._scale import materialize
 from .toxicity import labelled_sample
 
-#: Rows a fit uses: labelled ones per class, and unlabelled ones. Both chosen by a hash of doc_id.
+#: Labelled rows a fit uses, per class, chosen by a hash of doc_id.
 MAX_PER_CLASS = 3_000
-MAX_POOL = 6_000
 ROUNDS = 4
-#: Share of the pool each view may label for the other in a round, per class.
+#: Share of the unlabelled rows each view may label for the other in a round, per class; over all
+#: rounds these are at most as many as the labelled rows.
 SHARE = 0.02
 #: Log-odds from which a view counts as confident (0.95).
 SURE = 3.0
@@ -118,12 +119,18 @@ class Quality:
         return sigmoid(self.text.log_odds(xt) + self.meta.log_odds(xm) - self.prior)
 
 
+#: What a view is most confident about: (doc_id, t, m) of rows for a label, surest first.
+Sure = tuple[int, np.ndarray, np.ndarray]
+
+
 def co_train(
-    xt: np.ndarray, xm: np.ndarray, y: np.ndarray, pool_t: np.ndarray, pool_m: np.ndarray, prior: float, rounds: int = ROUNDS, share: float = SHARE
+    xt: np.ndarray, xm: np.ndarray, y: np.ndarray, surest: Callable[[dict[str, View], dict[str, set[int]]], dict[tuple[str, int], list[Sure]]] | None, prior: float, rounds: int = ROUNDS
 ) -> Quality:
     """Fit both views. Every fifth labelled row of a class is kept for calibration alone; where a
     class has under five, all rows both fit and calibrate.
 
+    `surest` finds, among all unlabelled rows, what each view is most confident about, without
+    the doc_ids it has labelled already; None if there are no such rows.
     `prior` is the share of label 1 among all labelled rows (the sample may be balanced);
     without both classes every score is that share, smoothed.
     """
@@ -137,34 +144,32 @@ def co_train(
     train = ~keep
     if len(np.unique(y[keep])) < 2:
         train[:] = keep[:] = True
-    data = {"text": (xt, pool_t), "meta": (xm, pool_m)}
-    extra: dict[str, dict[int, int]] = {"text": {}, "meta": {}}  # pool row -> pseudo-label
+    data = {"text": xt, "meta": xm}
+    extra: dict[str, list[tuple[np.ndarray, int]]] = {"text": [], "meta": []}  # pseudo-labelled rows a view learns from
+    given: dict[str, set[int]] = {"text": set(), "meta": set()}  # doc_ids a view has labelled
     views: dict[str, View] = {}
     history = []
     weight = np.where(y > 0, p / max(y.mean(), 1e-9), (1 - p) / max(1 - y.mean(), 1e-9))
     for r in range(rounds + 1):
-        for v, (x, pool) in data.items():
-            rows = list(extra[v])
-            xx = np.vstack([x[train], pool[rows]]) if rows else x[train]
-            yy = np.r_[y[train], [extra[v][i] for i in rows]]
+        for v, x in data.items():
+            xx = np.vstack([x[train], *(f for f, _ in extra[v])])
+            yy = np.r_[y[train], [label for _, label in extra[v]]]
             views[v] = View.fit(xx, yy, l2=1e-3 if v == "text" else 1e-2)
-        if r == rounds or not len(pool_t):
+            # confident: by the odds that rows no round trains on give such margins
+            views[v].slope, views[v].offset = platt(views[v].margin(x[keep]), y[keep].astype(float), weight[keep])
+        if r == rounds or surest is None:
             break
+        found = surest(views, given)
         for v, other in (("text", "meta"), ("meta", "text")):
-            # confident: by the odds that rows no round trains on give such margins
-            views[v].slope, views[v].offset = platt(views[v].margin(data[v][0][keep]), y[keep].astype(float), weight[keep])
-            m = views[v].log_odds(data[v][1])
-            k = max(1, int(share * len(m)))
-            taken = 0
+            before = len(given[v])
             for label in (0, 1):
-                side = m if label else -m
-                for i in np.argsort(-side, kind="stable")[:k]:
-                    if side[i] > SURE and int(i) not in extra[other]:
-                        extra[other][int(i)] = label
-                        taken += 1
-            history.append({"round": r, "from": v, "labels": taken})
-    for v, (x, _) in data.items():
-        views[v].slope, views[v].offset = platt(views[v].margin(x[keep]), y[keep].astype(float), weight[keep])
+                for i, t, m in found.get((v, label), []):
+                    if i not in given[v]:
+                        given[v].add(i)
+                        extra[other].append((m if v == "text" else t, label))
+            history.append({"round": r, "from": v, "labels": len(given[v]) - before})
+        if not any(h["labels"] for h in history[-2:]):
+            break  # the same fits would follow
     return Quality(views["text"], views["meta"], base, history)
 
 
@@ -185,21 +190,73 @@ def _features(docs: DataFrame, extra: str = "") -> DataFrame:
     return docs.select(*cols, *names).mapInArrow(run, "doc_id long, t array<double>, m array<double>" + (", " + extra if extra else ""))
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS, pool: int = MAX_POOL, rounds: int = ROUNDS) -> Quality:
-    """Fit on at most `per_class` labelled rows a class and `pool` unlabelled rows."""
+def _surest(free: DataFrame, k: int, views: dict[str, View], given: dict[str, set[int]]) -> dict[tuple[str, int], list[Sure]]:
+    """For each view and label the `k` rows of `free` (doc_id, t, m) with the largest log-odds over SURE.
+
+    A task hands on at most `k` of each, and the driver gets at most `k` of each.
+    """
+    shared = free.sparkSession.sparkContext.broadcast((views, given))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, done = shared.value
+        best: dict[tuple[str, int], tuple[np.ndarray, ...]] = {}
+        skip = {v: np.array(sorted(d), np.int64) for v, d in done.items()}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            x = {"text": b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1), "meta": b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)}
+            for v, model in models.items():
+                odds = model.log_odds(x[v])
+                new = ~np.isin(ids, skip[v])
+                for label in (0, 1):
+                    side = odds if label else -odds
+                    at = np.flatnonzero((side > SURE) & new)
+                    if not len(at):
+                        continue
+                    rows = (ids[at], side[at], x["text"][at], x["meta"][at])
+                    if (v, label) in best:
+                        rows = tuple(np.concatenate(c) for c in zip(best[v, label], rows))
+                    # a repeated doc_id counts once
+                    o = np.lexsort((rows[0], -rows[1]))
+                    o = o[np.sort(np.unique(rows[0][o], return_index=True)[1])][:k]
+                    best[v, label] = tuple(c[o] for c in rows)
+        lists = lambda a: pa.ListArray.from_arrays(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32), pa.array(a.ravel()))
+        for (v, label), (ids, side, t, m) in best.items():
+            n = len(ids)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([v] * n), pa.array([label] * n, pa.int32()), pa.array(ids), pa.array(side), lists(t), lists(m)], ["view", "label", "doc_id", "side", "t", "m"]
+            )
+
+    sure = materialize(free.mapInArrow(run, "view string, label int, doc_id long, side double, t array<double>, m array<double>"), "sure")
+    out = {}
+    for v in views:
+        for label in (0, 1):
+            mine = sure.where((F.col("view") == v) & (F.col("label") == label)).groupBy("doc_id").agg(F.max(F.struct("side", "t", "m")).alias("x"))
+            rows = mine.select("doc_id", "x.*").orderBy(F.desc("side"), "doc_id").limit(k).collect()
+            out[v, label] = [(r["doc_id"], np.array(r["t"]), np.array(r["m"])) for r in rows]
+    return out
+
+
+def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS, rounds: int = ROUNDS, share: float = SHARE) -> Quality:
+    """Fit on at most `per_class` labelled rows a class and what the views label for each other.
+
+    Features of all unlabelled rows are written to the shared folder once; each round reads them all.
+    """
     sample, prior = labelled_sample(labels.select("doc_id", "quality"), "quality", per_class)
-    known = labels.select("doc_id").where("doc_id is not null").distinct()
-    free = docs.select("doc_id").where("doc_id is not null").distinct().join(known, "doc_id", "left_anti")
-    free = free.orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool).select("doc_id", F.lit(None).cast("int").alias("y"))
-    chosen = sample.select("doc_id", F.col("y").cast("int").alias("y")).union(free)  # bounded by the parameters
-    own = docs.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(chosen), "doc_id")
-    rows = _features(own.dropDuplicates(["doc_id"]), "y int").collect()
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    own = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    rows = _features(own.join(F.broadcast(sample.select("doc_id", F.col("y").cast("int").alias("y"))), "doc_id").dropDuplicates(["doc_id"]), "y int").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
-    lab, fre = [r for r in rows if r["y"] is not None], [r for r in rows if r["y"] is None]
-    stack = lambda rs, k, d: np.array([r[k] for r in rs]) if rs else np.zeros((0, d))
-    dt, dm = TEXT_FEATURES, _META_SLOTS + 3
-    y = np.array([r["y"] for r in lab], int)
-    return co_train(stack(lab, "t", dt), stack(lab, "m", dm), y, stack(fre, "t", dt), stack(fre, "m", dm), prior, rounds)
+    stack = lambda k, d: np.array([r[k] for r in rows]) if rows else np.zeros((0, d))
+    y = np.array([r["y"] for r in rows], int)
+    surest = None
+    if len(np.unique(y)) == 2 and rounds:
+        free = materialize(_features(own.where("doc_id is not null")).join(known, "doc_id", "left_anti"), "free")
+        n = free.count()
+        k = min(max(1, int(share * n)), max(1, per_class // rounds))
+        surest = (lambda views, given: _surest(free, k, views, given)) if n else None
+    return co_train(stack("t", TEXT_FEATURES), stack("m", _META_SLOTS + 3), y, surest, prior, rounds)
 
 
 def score_quality(docs: DataFrame, model: Quality, threshold: float = THRESHOLD) -> DataFrame:

@@ -333,6 +333,27 @@ def test_quality_held_out(spark, docs, none):
     assert score_quality(docs, flat).where("quality_score between 0 and 1").count() == docs.count()
 
 
+def test_quality_labels_whole_pool(spark):
+    """Every unlabelled row may be picked, however many there are, and none twice by a view."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm import quality
+
+    n = 20_000
+    text = F.when(F.col("id") % 2 == 0, F.concat(F.lit("The members met again in spring and wrote report "), F.col("id"))).otherwise(F.lit("WIN $$$ || !!!! buy buy buy ### 999"))
+    d = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"), F.lit(99).alias("n_chars"))
+    lab = spark.range(400).select(F.col("id").alias("doc_id"), (1 - F.col("id") % 2).alias("quality"))
+    assert sum(h["labels"] for h in train_quality(d, lab).history if h["from"] == "text") == 4 * 2 * int(0.02 * (n - 400))
+    free = spark.range(0, n, 1, 7).select(F.col("id").alias("doc_id"), F.array(F.col("id") / 1000.0).alias("t"), F.array(F.lit(0.0)).alias("m"))
+    view = lambda w: quality.View(np.zeros(1), np.full(1, 2.0), np.array([w, 0.0]))
+    views, given = {"text": view(1.0), "meta": view(1.0)}, {"text": {n - 1, n - 3}, "meta": set()}
+    got = quality._surest(free, 5, views, given)
+    # scaled values are cut at 8: the smaller id goes first among equals
+    assert [i for i, _, _ in got["text", 1]] == [16_000 + i for i in range(5)] and got["text", 0] == got["meta", 1] == []
+    given["text"] = set(range(16_000, n))
+    assert [i for i, _, _ in quality._surest(free, 5, views, given)["text", 1]] == [15_999 - i for i in range(5)]
+
+
 @pytest.mark.parametrize("good,bad", [(6, 12), (3, 60), (0, 8)])
 def test_quality_few_labels(spark, good, bad):
     """Few labels or a rare class still give a model; one class alone gives none, and rejects nothing."""
