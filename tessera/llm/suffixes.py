@@ -8,9 +8,9 @@ bytes is the anchor's context.
 
 1. Anchors meet by gram. Runs equal to one in a smaller document are repeated as a whole.
 2. Contexts that are the smallest of their kind but share their gram with others are
-   brought together by gram. Their suffixes are put in order by deep-shallow sorting: multikey
-   quicksort over eight-byte symbols to a shallow depth, then blind tries for groups that
-   still agree. Neighbours' common prefixes give, for each string length right of the
+   brought together by gram. Their suffixes are put in order by deep-shallow sorting, with
+   np.lexsort of groups by eight-byte symbols in place of multikey quicksort to a shallow depth
+   (one library call for all groups), then blind tries for groups that still agree. Neighbours' common prefixes give, for each string length right of the
    anchor, the classes of equal suffixes; with the bytes left of it, those of equal strings.
 3. Each string whose class has a smaller document is removed.
 
@@ -164,6 +164,7 @@ def blind_trie(strings: list[bytes]) -> list[int]:
 def deep_shallow(buf: np.ndarray, starts: np.ndarray, limit: int, shallow: int = SHALLOW) -> np.ndarray:
     """Order of the suffixes of `buf` at `starts` by their first `limit` bytes; equal ones in input order.
 
+    np.lexsort refines groups down to `shallow`, where the method's own sort is multikey quicksort.
     `buf` must reach `limit` bytes past every start.
     """
     n = len(starts)
