@@ -3,7 +3,8 @@
 A file holds one range of the document order: record batches with two columns,
 `ids` and `mask`, both fixed-size lists of `length`. Ids run on from document to document;
 only a file's last sequence is padded (mask false). Buffers are not compressed, so a
-mapped file gives any sequence, its mask and any document without a copy. Beside it an
+mapped file gives any sequence, its mask and any document without a copy: ids as a numpy
+view, the mask as an Arrow array over the file's own bits. Beside it an
 index file has (doc_id, start, n_tokens) of the file's documents. Writers use a name of
 their own and rename at the end, so a repeated task replaces a file by an equal one.
 """
@@ -77,8 +78,9 @@ class SequenceFile:
 
     def __init__(self, path: str):
         fs, at = _fs(path)
-        source = pa.memory_map(at) if fs.type_name == "local" else fs.open_input_file(at)
-        self.file = pa.ipc.open_file(source)
+        #: a mapped file's whole content as one buffer (None in a remote store)
+        self.source = pa.memory_map(at).read_buffer() if fs.type_name == "local" else None
+        self.file = pa.ipc.open_file(fs.open_input_file(at) if self.source is None else self.source)
         self.length = self.file.schema.field("ids").type.list_size
         self.step = self.file.get_batch(0).num_rows * self.length if self.file.num_record_batches else 1
         self.last = (-1, None)
@@ -88,11 +90,11 @@ class SequenceFile:
             self.last = (k, self.file.get_batch(k).column(0).flatten().to_numpy())
         return self.last[1]
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, mask) of the i-th sequence; ids are a view of the file."""
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """(ids, mask) of the i-th sequence; both are views of the file's bytes."""
         k, j = divmod(i, self.step // self.length)
         row = self.file.get_batch(k).slice(j, 1)
-        return row.column(0).flatten().to_numpy(), row.column(1).flatten().to_numpy(zero_copy_only=False)
+        return row.column(0).flatten().to_numpy(), row.column(1).flatten()
 
     def ids(self, start: int, n: int) -> Iterator[np.ndarray]:
         while n:

@@ -2,7 +2,8 @@
 
 Both supported vocabularies split a text into pieces before merging, and merge each piece
 on its own. So a piece's ids can be looked up; the library is asked only for pieces not
-met yet. Texts with characters outside a checked range go through the library whole.
+met yet. Texts with characters outside a checked range, and texts that hold a string the
+vocabulary has as an added token, go through the library whole.
 """
 
 from __future__ import annotations
@@ -50,13 +51,15 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype(dtype)
         native = sys.byteorder == "little" and self.dtype.kind == "u"
         self.code = {2: "H", 4: "I"}.get(self.dtype.itemsize) if native else None
         pattern, self.lower = CUTS.get(os.path.basename(path), (None, False))
         self.cut = pattern and re.compile(pattern).findall
         self.odd = re.compile(f"[^{_PLAIN}]").search
+        # strings that the library takes as one id wherever they stand in a text
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.added = [t.lower() if self.lower else t for t in added]
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes() if self.code else np.array(ids, self.dtype).tobytes()
@@ -79,7 +82,10 @@ class Encoder(dict):
             return b""
         if self.cut is None or not text.isascii() and self.odd(text):
             return self.whole(text)
-        pieces = self.cut(text.lower() if self.lower else text)
+        plain = text.lower() if self.lower else text
+        if any(t in plain for t in self.added):
+            return self.whole(text)
+        pieces = self.cut(plain)
         found = list(map(self.get, pieces))
         try:
             return b"".join(found)

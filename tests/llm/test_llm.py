@@ -94,7 +94,6 @@ def test_encoder_equals_the_library(name):
     from tokenizers import Tokenizer
 
     enc, lib = Encoder(tokenizer_path(name)), Tokenizer.from_file(tokenizer_path(name))
-    lib.encode_special_tokens = True
     texts = [f"{a}{chr(c)}{b}" for c in [*range(0x180), *range(0x2010, 0x205F), 0x20AC, 0x3042, 0x1F600, 0x301] for a, b in (("a", "b"), (" ", " "), ("1", "2"), ("x ", "  y"), ("'s", "'T"))]
     texts += ["", " ", "It's  a\n\n test'LL do <|endoftext|> 123 ¾", "été ΣΑΣ İI", "x" * 300 + " " * 200]
     for t in texts:
@@ -169,7 +168,10 @@ def test_token_files(spark, docs, rows, none):
     assert ids == sorted(ids)
     f = SequenceFile(files.where("n_tokens > 2048").first()["path"] + ".arrow")
     a, m = f.sequence(0)
-    assert len(a) == 2048 and m.all() and a.base is not None
+    assert len(a) == 2048 and all(m.to_pylist()) and a.base is not None
+    lo = f.source.address
+    for at in (a.ctypes.data, m.buffers()[1].address):
+        assert lo <= at < lo + f.source.size  # no copy of ids or mask
     assert read_documents(write_tokens(none)).count() == 0
 
 
