@@ -300,6 +300,26 @@ def test_mixing(spark, docs, rows, none):
     assert mix_sources(none).count() == 0 and mixed_documents(none).count() == 0
 
 
+def test_mixing_ranges_and_odd_ids(spark):
+    """Unspaced text, tiny weights: no key range is large. Rows without an id draw one by one."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm.mixing import _draws
+
+    d = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("汉字文本"), 50), F.col("id")).alias("text"), F.lit("zh").alias("source"), F.lit(0.001).alias("w"))
+    for weight in (None, F.col("w")):
+        x = _draws(d, "mix-1", 1024, ("doc_id", "text", "source"), weight, False)
+        assert x.groupBy("_rng").count().agg(F.max("count")).first()[0] < 200
+        r = mix_sources(d.withColumn("source", F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b")), weight=weight).toPandas()
+        for _, own in r.groupby("source"):
+            assert abs(own["taken"].sum() - own["target"].iloc[0]) <= 1
+    odd = [(None, f"text number {i}", s) for i in range(400) for s in "ab"] + [(7, "x " * 5, "a")] * 300
+    r = mix_sources(spark.createDataFrame(odd, "doc_id long, text string, source string")).toPandas()
+    assert (r[r["doc_id"] == 7].groupby("doc_id")["epochs"].nunique() == 1).all()
+    b = r[r["source"] == "b"]
+    assert abs(b["taken"].sum() - b["target"].iloc[0]) <= 3 and b["epochs"].nunique() == 2
+
+
 # --- 6 and 10 classifiers ----------------------------------------------------------------------------------
 
 
