@@ -3,9 +3,11 @@
 A filter direction is a product of one random codeword for each of two halves of the
 (randomly rotated) space, so c codewords a half make c * c directions, and the directions
 whose cap holds a vector can be listed from two short lists of inner products without
-looking at the others. A vector's caps are all directions whose inner product with it is
-within `slack` of its largest. Vectors that share a direction and a label meet and are
-verified in double precision. A pair that shares several directions counts at the first.
+looking at the others. A vector's caps are all directions whose inner product with it
+exceeds a threshold: its largest one less `SLACK / sqrt(dimension)`, so that no vector is without a cap.
+The number of codewords follows from the number of vectors, so that a direction holds some hundreds
+of them at any size. Vectors that share a direction and a label meet and are verified in
+double precision. A pair that shares several directions counts at the first.
 """
 
 from __future__ import annotations
@@ -21,14 +23,24 @@ from pyspark.sql import functions as F
 
 from ._scale import connected_components, materialize, parts
 
-CODEWORDS = 256
-SLACK = 0.045
-TABLES = 2
+#: Inner products of a vector and its neighbour at cosine 0.98 differ by about this / sqrt(dimension) at most.
+SLACK = 0.36
+TABLES = 1
 THRESHOLD = 0.98
-#: Members of a direction that one task compares with each other; larger ones are split into blocks.
-BLOCK = 4096
+#: Members that a direction is meant to have, if vectors lie evenly.
+MEMBERS = 512
+#: Members of a direction that meet in one block; larger directions are split into blocks.
+BLOCK = 256
+#: Blocks up to which a larger direction gets more blocks rather than larger ones, and the largest block.
+MANY_BLOCKS, MAX_BLOCK = 64, 16_384
+#: Over-full directions up to which their table is sent to every task (a row is 16 bytes).
+FEW_FULL = 1_000_000
 _SMALL = 48
 _SEED = 20240711
+#: Fills up lists of directions; no direction has it.
+_PAD = np.int32((1 << 31) - 1)
+#: Rows that a task gathers before it compares the groups among them.
+_SLICE = 20_000
 
 
 @lru_cache(maxsize=8)
@@ -140,24 +152,24 @@ def _compare(t: dict[str, np.ndarray], threshold: float) -> tuple[np.ndarray, np
                 np.add.at(links, a[new], t["n"][b[new]])
                 np.add.at(links, b[new], t["n"][a[new]])
     for s, k in zip(start[size > _SMALL], size[size > _SMALL]):
-        e, f = s + k, int(t["dir"][s])
+        e, f = s + k, t["dir"][s]
         x, dirs = t["x"][s:e], t["dirs"][s:e]
         known = np.unique(dirs[dirs < f])
-        known = known[known >= 0]
         member = np.zeros((k, len(known)), np.float32)
-        r, c = np.nonzero((dirs < f) & (dirs >= 0))
+        r, c = np.nonzero(dirs < f)
         member[r, np.searchsorted(known, dirs[r, c])] = 1
         root = np.arange(k)
-        for lo in range(0, k, 1024):
-            hi = min(lo + 1024, k)
-            hit = x[lo:hi] @ x.T >= threshold
-            hit &= t["meet"](np.arange(s + lo, s + hi)[:, None], np.arange(s, e)[None, :])
-            hit[np.arange(hi - lo), np.arange(lo, hi)] = False
-            new = hit & ~(member[lo:hi] @ member.T > 0)
-            links[s + lo : s + hi] += new @ t["n"][s:e]
+        for lo, to in ((a, b) for a in range(0, k, 1024) for b in range(0, k, 4096)):
+            hi, end = min(lo + 1024, k), min(to + 4096, k)
+            hit = x[lo:hi] @ x[to:end].T >= threshold
+            hit &= t["meet"](np.arange(s + lo, s + hi)[:, None], np.arange(s + to, s + end)[None, :])
+            own = np.arange(max(lo, to), max(max(lo, to), min(hi, end)))
+            hit[own - lo, own - to] = False
+            new = hit & ~(member[lo:hi] @ member[to:end].T > 0)
+            links[s + lo : s + hi] += new @ t["n"][s + to : s + end]
             # a spanning set: each row to the lowest it touches, and rows that share one are joined by it
             rows, cols = np.nonzero(hit)
-            lab = _roots(np.r_[rows + lo, np.arange(k)], np.r_[cols, root], k)
+            lab = _roots(np.r_[rows + lo, np.arange(k)], np.r_[cols + to, root], k)
             root = lab
         moved = np.flatnonzero(root != np.arange(k))
         la.append(moved + s)
@@ -171,10 +183,30 @@ def _compare(t: dict[str, np.ndarray], threshold: float) -> tuple[np.ndarray, np
     return ids, total, root
 
 
+def codewords_for(vectors: int) -> int:
+    """Codewords of each half for so many vectors of a label: a power of two, 8 to 4,096."""
+    c = 8
+    while c < 4096 and c * c * MEMBERS < 4 * vectors:
+        c *= 2
+    return c
+
+
+def _decoded(raw: list[np.ndarray], tables: int, codewords: int, slack: float) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(rows, their directions in order, dimension) for each dimension."""
+    dims = np.array([len(v) for v in raw])
+    for d in np.unique(dims):
+        pick = np.flatnonzero(dims == d)
+        x = np.stack([raw[i] for i in pick])
+        x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        rows, dirs = (np.concatenate(c) for c in zip(*(list_decode(x, t, codewords, slack / np.sqrt(d)) for t in range(tables))))
+        o = np.lexsort((dirs, rows))
+        yield pick[rows[o]], dirs[o].astype("<i4"), int(d)
+
+
 def cap_links(
     vectors: DataFrame,
     threshold: float = THRESHOLD,
-    codewords: int = CODEWORDS,
+    codewords: int | None = None,
     slack: float = SLACK,
     tables: int = TABLES,
     block: int = BLOCK,
@@ -191,100 +223,86 @@ def cap_links(
     Equal vectors of a label are one node with a count, so copies are never paired, yet
     counted. Other columns are ignored. An empty table gives no rows.
 
-    Recall depends on `slack`: for pairs at cosine 0.98 in 64 dimensions two tables with
-    the defaults miss fewer than one in 10,000.
+    `codewords` default to `codewords_for` the largest label. Recall depends on `slack`: with the
+    default a pair at cosine 0.98 exactly is missed about once in 20,000 at 64 dimensions, nearer pairs less.
     """
     spark = vectors.sparkSession
     base, dtype = _prepare(vectors, id_col, vector_col, label_col)
-    base = materialize(base, "vectors")
     reps = base.where("vec is not null").groupBy("key").agg(
         F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("vec").alias("vec")
     )
+    reps = materialize(reps, "vectors")
+    if codewords is None:
+        codewords = codewords_for(reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0)
 
-    def caps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
-                out: list[tuple] = []
-                raw = [np.frombuffer(v, dtype).astype(float) for v in b.column(3).to_pylist()]
-                dims = np.array([len(v) for v in raw])
-                for d in np.unique(dims):
-                    pick = np.flatnonzero(dims == d)
-                    x = np.stack([raw[i] for i in pick])
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    got = [list_decode(x, t, codewords, slack) for t in range(tables)]
-                    row, direction = (np.concatenate(c) for c in zip(*got))
-                    for r, i in enumerate(pick):
-                        mine = np.sort(direction[row == r]).astype("<i4")
-                        out += [(int(i), int(f), int(d), mine.tobytes()) for f in mine]
-                take = pa.array([o[0] for o in out], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0).take(take),
-                        b.column(1).take(take),
-                        b.column(2).take(take),
-                        b.column(3).take(take),
-                        pa.array([o[1] for o in out], pa.int32()),
-                        pa.array([o[2] for o in out], pa.int32()),
-                        pa.array([o[3] for o in out], pa.binary()),
-                    ],
-                    ["id", "n", "label", "vec", "dir", "dim", "dirs"],
-                )
-
-    listed = reps.select("id", "n", "label", "vec").mapInArrow(
-        caps, "id long, n long, label string, vec binary, dir int, dim int, dirs binary"
-    )
-    listed = materialize(listed.withColumn("g", F.xxhash64("label", "dim", "dir")), "caps")
-    # directions that only one vector lists need no further look; over-full ones are split
-    sizes = listed.groupBy("g").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    rows = listed.join(sizes, "g").withColumn("parts", F.ceil(F.col("members") / block).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    rows = rows.select(
-        "id", "n", "vec", "dir", "dirs", "own",
-        F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
-        F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("group"),
-    )
+    def caps(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
+            raw = [np.frombuffer(v, dtype).astype(float) for v in b.column(3).to_pylist()]
+            for row, dirs, d in _decoded(raw, tables, codewords, slack):
+                take = pa.array(row)
+                cols = [b.column(2).take(take), pa.array(np.full(len(row), d, np.int32)), pa.array(dirs)]
+                names = ["label", "dim", "dir"]
+                if whole:
+                    cuts = np.flatnonzero(np.r_[True, row[1:] != row[:-1], True])
+                    lists = [x.tobytes() for x in np.split(dirs, cuts[1:-1])]
+                    own = pa.array(lists, pa.binary()).take(pa.array(np.repeat(np.arange(len(lists)), np.diff(cuts))))
+                    cols, names = cols + [b.column(c).take(take) for c in (0, 1, 3)] + [own], names + ["id", "n", "vec", "dirs"]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    listed = "label string, dim int, dir int"
+    g = F.xxhash64("label", "dim", "dir").alias("g")
+    source = reps.select("id", "n", "label", "vec")
+    # directions with more members than a block, the only ones that need a look before vectors travel
+    full = source.mapInArrow(lambda b: caps(b, False), listed).select(g).groupBy("g").agg(F.count(F.lit(1)).alias("members"))
+    wide = F.least(F.lit(MAX_BLOCK), F.greatest(F.lit(block), F.ceil(F.col("members") / MANY_BLOCKS)))
+    full = materialize(full.where(F.col("members") > block).select("g", F.ceil(F.col("members") / wide).cast("int").alias("blocks")), "full")
+    few = full.limit(FEW_FULL + 1).count() <= FEW_FULL
+    rows = source.mapInArrow(lambda b: caps(b, True), listed + ", id long, n long, vec binary, dirs binary").select("id", "n", "vec", "dir", "dirs", g)
+    rows = rows.join(F.broadcast(full) if few else full, "g", "left").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.expr("case when blocks is null then array(cast(null as int)) else sequence(0, blocks - 1) end")))
+    p, q = F.least("own", "other"), F.greatest("own", "other")
+    rows = rows.select("id", "n", "vec", "dir", "dirs", "own", (p == q).alias("same"), F.xxhash64("g", p, q).alias("group"))
+
+    def compared(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        raw, lists = t["vec"].to_pylist(), t["dirs"].to_pylist()
+        # nulls: a direction that is not split, in which all meet
+        own, same = t["own"].fill_null(-1).to_numpy(), t["same"].fill_null(True).to_numpy()
+        length = np.array([len(v) for v in raw])
+        for k in np.unique(length):
+            pick = np.flatnonzero(length == k)
+            x = np.frombuffer(b"".join(raw[i] for i in pick), dtype).reshape(len(pick), -1).astype(float)
+            x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+            dirs = np.full((len(pick), max(len(lists[i]) for i in pick) // 4), _PAD)
+            for r, i in enumerate(pick):
+                dirs[r, : len(lists[i]) // 4] = np.frombuffer(lists[i], "<i4")
+            o, s = own[pick], same[pick]
+            part = {c: t[c].to_numpy()[pick] for c in ("id", "n", "group", "dir")}
+            yield _compare(part | {"dirs": dirs, "x": x, "meet": lambda i, j, o=o, s=s: s[i] | (o[i] != o[j])}, threshold)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        group = t["group"].to_numpy()
-        ids, links, roots = [], [], []
-        order = np.argsort(group, kind="stable")
-        cuts = np.flatnonzero(np.diff(group[order])) + 1
-        # slices of whole groups, so that wide arrays stay small
-        at, ends = 0, np.r_[cuts, len(order)]
-        while at < len(order):
-            to = int(ends[min(np.searchsorted(ends, at + 20_000), len(ends) - 1)])
-            part = t.take(pa.array(order[at:to]))
-            at = to
-            raw = [np.frombuffer(v, dtype).astype(float) for v in part["vec"].to_pylist()]
-            lists = [np.frombuffer(v, "<i4") for v in part["dirs"].to_pylist()]
-            width, dim = max(map(len, lists)), max(map(len, raw))
-            x, dirs = np.zeros((len(raw), dim)), np.full((len(raw), width), -1, np.int32)
-            for i, (v, d) in enumerate(zip(raw, lists)):
-                x[i, : len(v)] = v / np.sqrt(v @ v)
-                dirs[i, : len(d)] = d
-            own, p, q = (part[c].to_numpy() for c in ("own", "p", "q"))
-            # -1 pads must not match each other
-            dirs = np.where(dirs < 0, np.int32(2**31 - 1), dirs)
-            got = _compare(
-                {
-                    "id": part["id"].to_numpy(), "n": part["n"].to_numpy(), "group": part["group"].to_numpy(),
-                    "dir": part["dir"].to_numpy(), "dirs": dirs, "x": x,
-                    "meet": lambda i, j: (p[i] == q[i]) | (own[i] != own[j]),
-                },
-                threshold,
-            )
-            for a, b in zip((ids, links, roots), got):
-                a.append(b)
-        cols = [np.concatenate(c) for c in (ids, links, roots)]
-        use = (cols[1] > 0) | (cols[0] != cols[2])
-        yield pa.RecordBatch.from_arrays([pa.array(c[use], pa.int64()) for c in cols], ["id", "links", "root"])
-
-    found = materialize(rows.repartition(parts(spark), "group").mapInArrow(compare, "id long, links long, root long"), "links")
+        """Rows come sorted by group; whole groups are worked on as soon as there are enough rows."""
+
+        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            for ids, links, roots in compared(t):
+                use = (links > 0) | (ids != roots)
+                yield pa.RecordBatch.from_arrays([pa.array(c[use], pa.int64()) for c in (ids, links, roots)], ["id", "links", "root"])
+
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= _SLICE:
+                t = pa.Table.from_batches(held)
+                group = t["group"].to_numpy()
+                cut = int(np.searchsorted(group, group[-1]))
+                if cut:
+                    yield from done(t.slice(0, cut))
+                held, n = t.slice(cut).to_batches(), len(t) - cut
+        if n:
+            yield from done(pa.Table.from_batches(held))
+
+    met = rows.repartition(parts(spark), "group").sortWithinPartitions("group")
+    found = materialize(met.mapInArrow(compare, "id long, links long, root long"), "links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     comps = connected_components(found.where("id != root"), "id", "root")
     of = (
@@ -293,7 +311,9 @@ def cap_links(
         .join(comps, F.col("id") == F.col("node"), "left")
         .select("key", F.coalesce("component", "id").alias("c"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("l"))
     )
-    return base.join(of, "key", "left").select(
+    # rows that link with nothing have keys of their own, so that they do not meet in one task
+    own = base.select("vec_id", F.coalesce("key", F.hex(F.xxhash64("vec_id")).cast("binary")).alias("key"))
+    return own.join(of, "key", "left").select(
         "vec_id",
         F.coalesce("l", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("c", "vec_id").alias("component_id"),

@@ -229,8 +229,10 @@ def test_caps(spark):
     data += [(900, None, 1), (901, [0.0] * 64, 1), (902, [float("nan")] * 64, 1), (903, [1.0, None], 1), (904, v[3].tolist(), None), (905, [1.0, 2.0], 1), (906, [2.0, 4.0], 1), (907, [], 0), (None, v[3].tolist(), 0), data[5]]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 as id", "2 as links", "3 as component")
     got = {}
-    for x in cap_links(df, block=64).collect():
+    for x in cap_links(df, block=24).collect():
         got.setdefault(x["vec_id"], []).append((x["n_links"], x["component_id"], x["kept"]))
+    # the same with many directions
+    assert {(x["vec_id"], x["n_links"], x["component_id"]) for x in cap_links(df, codewords=64, tables=2).collect()} == {(i, n, c) for i, v in got.items() for n, c, _ in v}
     f = lambda e: np.array([np.float32(x) for x in e], float)
     good = [(i, f(e), lab) for i, e, lab in data if i is not None and lab is not None and e and None not in e and np.isfinite(f(e)).all() and np.any(f(e))]
     links, root = Counter(), {i: i for i, _, _ in good}
@@ -257,6 +259,28 @@ def test_caps(spark):
     assert cap_links(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("dim", [3, 64, 384, 1024])
+def test_caps_recall(spark, dim):
+    """Pairs just over the threshold are found, in any number of dimensions."""
+    from tessera.llm.caps import codewords_for
+
+    assert [codewords_for(n) for n in (0, 500, 10**5, 10**9)] == [8, 8, 32, 4096]
+    g = np.random.default_rng(dim)
+    x = g.standard_normal((400, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = g.standard_normal((400, dim))
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.981 * x + np.sqrt(1 - 0.981**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    data = [(i, v.tolist(), 1) for i, v in enumerate(np.stack([x, y], axis=1).reshape(800, dim))]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").repartition(4)
+    v = np.array([d[1] for d in data])
+    cos = (v @ v.T) / np.sqrt((v * v).sum(axis=1)[:, None] * (v * v).sum(axis=1))
+    want = (cos >= 0.98).sum() - len(v)
+    for c in (None, 64):
+        got = sum(r["n_links"] for r in cap_links(df, codewords=c).collect())
+        assert 0.99 * want <= got <= want and want >= 800
+
+
 # --- 5 mixing --------------------------------------------------------------------------------------------
 
 
