@@ -365,6 +365,43 @@ def test_toxicity_held_out(spark, docs, none):
     assert score_toxicity(docs, flat).where("score between 0 and 1").count() == docs.count()
 
 
+def test_toxicity_odd_training_rows(spark):
+    """Repeated, null and conflicting labels and rows; ties at the threshold; texts longer than a chunk."""
+    from tessera.llm import toxicity
+
+    ok, bad = "a plain note about the weather in town number {}", "you awful horrid wretch number {} be gone"
+    rows = [(i, (bad if i % 4 == 0 else ok).format(i)) for i in range(200)] + [(8, bad.format(8)), (8, "another text"), (None, bad), (301, None), (302, "")]
+    lab = [(i, int(i % 4 == 0)) for i in range(200)] + [(8, 0), (None, 1), (301, 0), (302, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(lab, "doc_id long, toxic int")
+    a, b = train_toxicity(d, labels), train_toxicity(d.repartition(7), labels.repartition(3))
+    assert (a.weights == b.weights).all() and (a.slope, a.offset) == (b.slope, b.offset)
+    got = score_toxicity(d, a).collect()
+    assert len(got) == len(rows)
+    hit = {r["doc_id"] for r in got if r["predicted"]}
+    assert {i for i in range(200) if i % 4 == 0} <= hit and not hit & {i for i in range(200) if i % 4}
+    cut = got[0]["score"]
+    assert [r["predicted"] for r in score_toxicity(d, a, cut).collect()] == [int(r["score"] >= cut) for r in got]
+    g, t = toxicity.Grams(), "".join(random.Random(1).choice("abcdef ") for _ in range(5000))
+    whole = set(g(t))
+    chunk, toxicity._CHUNK = toxicity._CHUNK, 700
+    try:
+        assert set(g(t)) == whole
+    finally:
+        toxicity._CHUNK = chunk
+
+
+def test_evidence_by_hand():
+    from tessera.llm.toxicity import evidence
+
+    count = np.array([[0, 50, 3, 0, 9.0], [20, 50, 3, 0, 9.0]])
+    r = evidence(count)
+    assert r[0] > 0 and (r[[2, 3, 4]] == 0).all()
+    assert np.isclose(r[0], np.log(20.5 / 84.5) - np.log(0.5 / 64.5))
+    few = evidence(np.array([[1, 0.0], [0, 1.0]]))
+    assert few[0] < 0 < few[1]
+
+
 def test_quality_held_out(spark, docs, none):
     d, lab = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     model = train_quality(d, lab.where("doc_id % 2 = 0"))
