@@ -1,8 +1,11 @@
 """Quality classifier by co-training of a text-content view and a page-metadata view.
 
-Each view has a classifier of its own. In every round each labels all unlabelled rows,
-and what it is most confident about joins the other's training set. At the end both views
-are calibrated on labelled rows that no round has used, and their log-odds combined.
+The content view sees character n-grams of the text, hashed; the metadata view sees what
+a page is described by: language, source, stated length, and statistics of its layout
+(lines, casing, symbols, separators). Each view has a classifier of its own. In every round
+each labels all unlabelled rows, and what it is most confident about joins the other's
+training set. At the end both views are calibrated on labelled rows that no round has
+used, and their log-odds combined.
 """
 
 from __future__ import annotations
@@ -30,19 +33,51 @@ SHARE = 0.02
 #: Log-odds from which a view counts as confident (0.95).
 SURE = 3.0
 THRESHOLD = 0.5
+#: Characters of an n-gram, and the slots n-grams are hashed to.
+ORDERS = (1, 2, 3)
+SLOTS = 256
+#: Characters that every text is taken to have besides, spread over all slots: short texts say little.
+PAD_CHARS = 200
+CONTENT_FEATURES = SLOTS + 4
 _META_SLOTS = 32
 _RUN = re.compile(r"[^\w\s.,;:'\"()?!-]")
 _SHOUT = re.compile(r"[!?]{2,}")
-TEXT_FEATURES = 15
+LAYOUT_FEATURES = 15
+_CHUNK = 1 << 20
 
 
 def text_features(text: str | None) -> np.ndarray:
-    """Shares and ratios of a whole text; an empty one gives zeros and a flag."""
+    """What a whole text says, in steps of 1/127: square roots of its n-grams' shares in each slot, and
+    how its words repeat. Zeros for an empty one."""
+    text, count, lap = text or "", np.zeros(SLOTS, np.int64), max(ORDERS) - 1
+    for at in range(0, len(text), _CHUNK):
+        c = np.frombuffer(text[at : at + _CHUNK + lap].encode("utf-32-le", "surrogatepass"), np.uint32)
+        starts = min(_CHUNK, len(text) - at)
+        c = np.where(c <= 32, np.uint32(32), c) + np.uint32(1)
+        h = np.zeros(len(c), np.uint32)
+        with np.errstate(over="ignore"):
+            for n in range(1, max(ORDERS) + 1):
+                if len(c) < n:
+                    break
+                h = h[: len(c) - n + 1] * np.uint32(0x01000193) + c[n - 1 :]
+                x = (h[:starts] ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
+                x ^= x >> np.uint32(15)
+                x *= np.uint32(0xC2B2AE35)
+                count += np.bincount(x >> np.uint32(24), minlength=SLOTS)
+    words = text.split()
+    k = len(words)
+    same, distinct = sum(map(str.__eq__, words, words[1:])), len(set(words))
+    said = [same / k, np.sqrt(same / k), distinct / k, min(1.0, np.log(distinct + 1) / np.log(k + 1.5))] if k else [0.0] * 4
+    return np.rint(127 * np.r_[np.sqrt(count / (count.sum() + len(ORDERS) * PAD_CHARS)), said]).astype(np.int8)
+
+
+def layout(text: str | None) -> np.ndarray:
+    """Shares and ratios of a whole text's lines and signs; an empty one gives zeros and a flag."""
     text = text or ""
     words = text.split()
     n, k = len(text), len(words)
     if not k:
-        return np.r_[np.zeros(TEXT_FEATURES - 1), 1.0]
+        return np.r_[np.zeros(LAYOUT_FEATURES - 1), 1.0]
     lines = text.split("\n")
     same = sum(map(str.__eq__, words, words[1:]))
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
@@ -71,13 +106,17 @@ def text_features(text: str | None) -> np.ndarray:
     )
 
 
-def meta_features(lang: str | None, source: str | None, n_chars: int | None, slots: int = _META_SLOTS) -> np.ndarray:
-    """One slot each for the language and the source (hashed; null is a value), and the stated length."""
-    out = np.zeros(slots + 3)
+META_FEATURES = _META_SLOTS + 3 + LAYOUT_FEATURES
+
+
+def meta_features(text: str | None, lang: str | None, source: str | None, n_chars: int | None, slots: int = _META_SLOTS) -> np.ndarray:
+    """One slot each for the language and the source (hashed; null is a value), the stated length, and the layout."""
+    out = np.zeros(slots + 3 + LAYOUT_FEATURES, np.float32)
     out[zlib.crc32(f"l:{lang}".encode()) % slots] += 1
     out[zlib.crc32(f"s:{source}".encode()) % slots] += 1
     size = np.log1p(max(0.0, float(n_chars or 0))) / 10
-    out[slots:] = size, size * size, float(n_chars is None)
+    out[slots : slots + 3] = size, size * size, float(n_chars is None)
+    out[slots + 3 :] = layout(text)
     return out
 
 
@@ -154,7 +193,7 @@ def co_train(
         for v, x in data.items():
             xx = np.vstack([x[train], *(f for f, _ in extra[v])])
             yy = np.r_[y[train], [label for _, label in extra[v]]]
-            views[v] = View.fit(xx, yy, l2=1e-3 if v == "text" else 1e-2)
+            views[v] = View.fit(xx, yy, l2=1e-2)
             # confident: by the odds that rows no round trains on give such margins
             views[v].slope, views[v].offset = platt(views[v].margin(x[keep]), y[keep].astype(float), weight[keep])
         if r == rounds or surest is None:
@@ -173,21 +212,35 @@ def co_train(
     return Quality(views["text"], views["meta"], base, history)
 
 
+def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    """Rows of one width as a list column."""
+    width = len(rows[0]) if len(rows) else 0
+    return pa.ListArray.from_arrays(np.arange(0, len(rows) * width + 1, max(width, 1), dtype=np.int32)[: len(rows) + 1], pa.array(np.concatenate(rows), kind))
+
+
 def _features(docs: DataFrame, extra: str = "") -> DataFrame:
     """doc_id, t, m (feature arrays) and the columns named in `extra` of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = [text_features(x.as_py()) for x in b.column(1)]
-            m = [meta_features(*x) for x in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))]
-            arr = lambda a: pa.ListArray.from_arrays(np.arange(0, len(a) * len(a[0]) + 1, len(a[0]), dtype=np.int32), np.concatenate(a))
-            yield pa.RecordBatch.from_arrays([b.column(0), arr(t), arr(m), *b.columns[5:]], ["doc_id", "t", "m", *b.schema.names[5:]])
+        for b in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
+            t, m = [], []
+            for text, *page in zip(b.column(1), *(b.column(i).to_pylist() for i in (2, 3, 4))):
+                text = text.as_py()
+                t.append(text_features(text))
+                m.append(meta_features(text, *page))
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(t, pa.int8()), _lists(m, pa.float32()), *b.columns[5:]], ["doc_id", "t", "m", *b.schema.names[5:]])
 
     cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars")]
     names = [x.split()[0] for x in extra.split(", ") if x]
-    return docs.select(*cols, *names).mapInArrow(run, "doc_id long, t array<double>, m array<double>" + (", " + extra if extra else ""))
+    return docs.select(*cols, *names).mapInArrow(run, f"doc_id long, {_FEATURES}" + (", " + extra if extra else ""))
+
+
+#: A row's two views: 260 bytes and 50 floats.
+_FEATURES = "t array<tinyint>, m array<float>"
+
+
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(float)
 
 
 def _surest(free: DataFrame, k: int, views: dict[str, View], given: dict[str, set[int]]) -> dict[tuple[str, int], list[Sure]]:
@@ -205,7 +258,7 @@ def _surest(free: DataFrame, k: int, views: dict[str, View], given: dict[str, se
             if not b.num_rows:
                 continue
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            x = {"text": b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1), "meta": b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)}
+            x = {"text": _matrix(b.column(1)), "meta": _matrix(b.column(2))}
             for v, model in models.items():
                 odds = model.log_odds(x[v])
                 new = ~np.isin(ids, skip[v])
@@ -221,11 +274,10 @@ def _surest(free: DataFrame, k: int, views: dict[str, View], given: dict[str, se
                     o = np.lexsort((rows[0], -rows[1]))
                     o = o[np.sort(np.unique(rows[0][o], return_index=True)[1])][:k]
                     best[v, label] = tuple(c[o] for c in rows)
-        lists = lambda a: pa.ListArray.from_arrays(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32), pa.array(a.ravel()))
         for (v, label), (ids, side, t, m) in best.items():
             n = len(ids)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([v] * n), pa.array([label] * n, pa.int32()), pa.array(ids), pa.array(side), lists(t), lists(m)], ["view", "label", "doc_id", "side", "t", "m"]
+                [pa.array([v] * n), pa.array([label] * n, pa.int32()), pa.array(ids), pa.array(side), _lists(t, pa.float64()), _lists(m, pa.float64())], ["view", "label", "doc_id", "side", "t", "m"]
             )
 
     sure = materialize(free.mapInArrow(run, "view string, label int, doc_id long, side double, t array<double>, m array<double>"), "sure")
@@ -241,14 +293,19 @@ def _surest(free: DataFrame, k: int, views: dict[str, View], given: dict[str, se
 def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS, rounds: int = ROUNDS, share: float = SHARE) -> Quality:
     """Fit on at most `per_class` labelled rows a class and what the views label for each other.
 
-    Features of all unlabelled rows are written to the shared folder once; each round reads them all.
+    Features of all unlabelled rows are written to the shared folder once; each round reads them
+    all. Rows without an id or a label teach nothing; an id labelled twice has the larger label, and of
+    rows that share an id the one with the smallest features is learnt from, so reruns agree.
+    Null texts are empty, nulls in lang, source and n_chars are values. Without both classes
+    (an empty table, too) there is no model, and every score is the share of label 1.
     """
     sample, prior = labelled_sample(labels.select("doc_id", "quality"), "quality", per_class)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     own = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    rows = _features(own.join(F.broadcast(sample.select("doc_id", F.col("y").cast("int").alias("y"))), "doc_id").dropDuplicates(["doc_id"]), "y int").collect()
+    rows = _features(own.join(F.broadcast(sample.select("doc_id", F.col("y").cast("int").alias("y"))), "doc_id"), "y int")
+    rows = rows.groupBy("doc_id", "y").agg(F.min(F.struct("t", "m")).alias("x")).select("doc_id", "y", "x.*").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
-    stack = lambda k, d: np.array([r[k] for r in rows]) if rows else np.zeros((0, d))
+    stack = lambda k, d: np.array([r[k] for r in rows], float) if rows else np.zeros((0, d))
     y = np.array([r["y"] for r in rows], int)
     surest = None
     if len(np.unique(y)) == 2 and rounds:
@@ -256,7 +313,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_C
         n = free.count()
         k = min(max(1, int(share * n)), max(1, per_class // rounds))
         surest = (lambda views, given: _surest(free, k, views, given)) if n else None
-    return co_train(stack("t", TEXT_FEATURES), stack("m", _META_SLOTS + 3), y, surest, prior, rounds)
+    return co_train(stack("t", CONTENT_FEATURES), stack("m", META_FEATURES), y, surest, prior, rounds)
 
 
 def score_quality(docs: DataFrame, model: Quality, threshold: float = THRESHOLD) -> DataFrame:
@@ -269,14 +326,14 @@ def score_quality(docs: DataFrame, model: Quality, threshold: float = THRESHOLD)
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few kB
 
-    @F.pandas_udf("double")
+    @F.pandas_udf("double")  # one column out of four: the other columns stay in the JVM
     def score(text, lang, source, n_chars):
         import pandas as pd
 
         if not len(text):
             return pd.Series([], dtype=float)
-        xt = np.stack([text_features(x) for x in text])
-        xm = np.stack([meta_features(a, b, None if c is None or c != c else int(c)) for a, b, c in zip(lang, source, n_chars)])
+        xt = np.stack([text_features(x) for x in text]).astype(float)
+        xm = np.stack([meta_features(t, a, b, None if c is None or c != c else int(c)) for t, a, b, c in zip(text, lang, source, n_chars)]).astype(float)
         return pd.Series(shared.value.score(xt, xm))
 
     d = docs.drop("quality_score", "quality_keep")

@@ -405,7 +405,9 @@ def test_evidence_by_hand():
 def test_quality_held_out(spark, docs, none):
     d, lab = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     model = train_quality(d, lab.where("doc_id % 2 = 0"))
-    assert model.history and any(h["labels"] for h in model.history)
+    # each view teaches the other in every round
+    assert [(h["round"], h["from"]) for h in model.history] == [(r, v) for r in range(4) for v in ("text", "meta")]
+    assert all(h["labels"] for h in model.history) and model.text.slope > 0 and model.meta.slope > 0
     r = score_quality(d, model).join(lab, "doc_id").where("doc_id % 2 = 1").toPandas()
     assert r[r["quality"] == 1]["quality_keep"].mean() > 0.99
     assert r[r["quality"] == 0]["quality_keep"].mean() < 0.1
@@ -416,6 +418,28 @@ def test_quality_held_out(spark, docs, none):
     assert score_quality(docs, flat).where("quality_score between 0 and 1").count() == docs.count()
 
 
+def test_quality_odd_training_rows(spark, monkeypatch):
+    """Repeated and null ids and labels: reruns agree. Features of texts longer than a chunk. Ties at the threshold."""
+    from tessera.llm import quality
+
+    clean, junk = "A calm line of words about town {}, with some more of them.", "BUY || NOW {} $$$ !!!! BUY BUY"
+    rows = [(i, (junk if i % 3 == 0 else clean).format(i), "en", "web", 50) for i in range(300)] + [(9, "other", None, None, None), (9, junk, "en", "web", 1), (None, junk, "en", "web", 1), (400, None, None, None, None)]
+    lab = [(i, int(i % 3 > 0)) for i in range(90)] + [(9, 1), (None, 0), (400, None)]
+    d, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame(lab, "doc_id long, quality int")
+    a, b = train_quality(d, labels), train_quality(d.repartition(9), labels.repartition(2))
+    assert (a.text.w == b.text.w).all() and (a.meta.w == b.meta.w).all() and a.history == b.history
+    got = score_quality(d, a).collect()
+    assert len(got) == len(rows)
+    cut = got[0]["quality_score"]
+    assert all(r["quality_keep"] == (r["quality_score"] >= cut) for r in score_quality(d, a, cut).collect())
+    r = random.Random(2)
+    t = "".join(r.choice("abc |\n") for _ in range(3000))
+    whole = quality.text_features(t)
+    monkeypatch.setattr(quality, "_CHUNK", 256)
+    assert (quality.text_features(t) == whole).all()
+    assert not quality.text_features(None).any() and not quality.text_features("").any()
+
+
 def test_quality_labels_whole_pool(spark):
     """Every unlabelled row may be picked, however many there are, and none twice by a view."""
     from pyspark.sql import functions as F
@@ -426,7 +450,9 @@ def test_quality_labels_whole_pool(spark):
     text = F.when(F.col("id") % 2 == 0, F.concat(F.lit("The members met again in spring and wrote report "), F.col("id"))).otherwise(F.lit("WIN $$$ || !!!! buy buy buy ### 999"))
     d = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"), F.lit(99).alias("n_chars"))
     lab = spark.range(400).select(F.col("id").alias("doc_id"), (1 - F.col("id") % 2).alias("quality"))
-    assert sum(h["labels"] for h in train_quality(d, lab).history if h["from"] == "text") == 4 * 2 * int(0.02 * (n - 400))
+    history = train_quality(d, lab).history
+    for view in ("text", "meta"):
+        assert sum(h["labels"] for h in history if h["from"] == view) == 4 * 2 * int(0.02 * (n - 400))
     free = spark.range(0, n, 1, 7).select(F.col("id").alias("doc_id"), F.array(F.col("id") / 1000.0).alias("t"), F.array(F.lit(0.0)).alias("m"))
     view = lambda w: quality.View(np.zeros(1), np.full(1, 2.0), np.array([w, 0.0]))
     views, given = {"text": view(1.0), "meta": view(1.0)}, {"text": {n - 1, n - 3}, "meta": set()}
