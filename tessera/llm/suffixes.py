@@ -498,7 +498,7 @@ def remove_repeats(
         raise ValueError("a string's owner must be one of at most 64 grams")
     spark = docs.sparkSession
     p = parts(spark)
-    groups = _prime(4 * p)
+    groups = _prime(8 * p)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("bytes"))
     d = d.withColumn("digest", F.sha2("bytes", 256))
     meta = materialize(d.select("doc_id", "digest", F.octet_length("bytes").cast("long").alias("n_bytes")), "digests")
@@ -528,7 +528,9 @@ def remove_repeats(
     strings = materialize(strings, "strings", release=True)
     final = answers.where(F.col("kind") == WHOLE).unionByName(strings)
     removed = stored.groupBy("db").cogroup(final.groupBy("db")).applyInArrow(_remove(match, gram), _RESULT)
-    removed = materialize(removed, "removed", release=True).dropDuplicates(["doc_id", "digest"]).select(
+    removed = materialize(removed, "removed", release=True)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")  # its entry; nothing reads it any more
+    removed = removed.dropDuplicates(["doc_id", "digest"]).select(
         F.col("doc_id").alias("r_id"), F.col("digest").alias("r_digest"), "n_removed", "n_spans", "kept_sha256", "spans"
     )
     m = meta.join(firsts.select("digest", "first_id"), "digest", "left")
