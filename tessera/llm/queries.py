@@ -99,6 +99,53 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_cap_filters": """
+        WITH RECURSIVE v AS MATERIALIZED (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(embedding) = list_count(embedding)
+              AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), l AS MATERIALIZED (
+            SELECT a.vec_id AS a, b.vec_id AS b
+            FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+        ), r AS (
+            SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+        ), c AS (
+            SELECT a, min(least(a, b)) AS component FROM r GROUP BY a
+        ), n AS (
+            SELECT a, count(*) AS links FROM l GROUP BY a
+        )
+        SELECT vec_id, coalesce(links, 0)::BIGINT AS n_links, coalesce(component, vec_id) AS component_id,
+               vec_id IS NOT DISTINCT FROM coalesce(component, vec_id) AS kept
+        FROM embeddings LEFT JOIN n ON vec_id = n.a LEFT JOIN c ON vec_id = c.a
+    """,
+    "op9_repeats": """
+        WITH d AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), s AS (
+            SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS g
+            FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM d WHERE length(h) >= 100)
+        ), m AS (
+            SELECT g, min(doc_id) AS first_id FROM s GROUP BY g HAVING count(*) > 1
+        ), hit AS (
+            SELECT doc_id, p, p > lag(p, 1, -51) OVER (PARTITION BY doc_id ORDER BY p) + 50 AS fresh
+            FROM s JOIN m USING (g) WHERE doc_id > first_id
+        ), run AS (
+            SELECT doc_id, p, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM hit
+        ), span AS (
+            SELECT doc_id, k, min(p) AS a, max(p) + 50 AS b FROM run GROUP BY doc_id, k
+        ), gap AS (
+            SELECT doc_id, k, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY k) AS from_b FROM span
+        ), kept AS (
+            SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans,
+                   string_agg(substr(h, 2 * from_b + 1, 2 * (a - from_b)), '' ORDER BY k) || substr(any_value(h), 2 * max(b) + 1) AS rest
+            FROM gap JOIN d USING (doc_id) GROUP BY doc_id
+        )
+        SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(rest, h))) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)
+    """,
     "op5_mixing": MIX_SQL.replace("{docs}", "documents"),
     "op7_exact_dedup": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)

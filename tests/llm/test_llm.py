@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tessera.llm import _scale, packing, suffixes
+from tessera.llm import _scale, packing, quality, suffixes
 from tessera.llm.arrow_stream import SequenceFile, read_documents, write_tokens
 from tessera.llm.caps import cap_links
 from tessera.llm.exact import build_mph, exact_dedup, mph_slots
@@ -420,8 +420,6 @@ def test_quality_held_out(spark, docs, none):
 
 def test_quality_odd_training_rows(spark, monkeypatch):
     """Repeated and null ids and labels: reruns agree. Features of texts longer than a chunk. Ties at the threshold."""
-    from tessera.llm import quality
-
     clean, junk = "A calm line of words about town {}, with some more of them.", "BUY || NOW {} $$$ !!!! BUY BUY"
     rows = [(i, (junk if i % 3 == 0 else clean).format(i), "en", "web", 50) for i in range(300)] + [(9, "other", None, None, None), (9, junk, "en", "web", 1), (None, junk, "en", "web", 1), (400, None, None, None, None)]
     lab = [(i, int(i % 3 > 0)) for i in range(90)] + [(9, 1), (None, 0), (400, None)]
@@ -444,8 +442,6 @@ def test_quality_labels_whole_pool(spark):
     """Every unlabelled row may be picked, however many there are, and none twice by a view."""
     from pyspark.sql import functions as F
 
-    from tessera.llm import quality
-
     n = 20_000
     text = F.when(F.col("id") % 2 == 0, F.concat(F.lit("The members met again in spring and wrote report "), F.col("id"))).otherwise(F.lit("WIN $$$ || !!!! buy buy buy ### 999"))
     d = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"), F.lit(99).alias("n_chars"))
@@ -616,6 +612,9 @@ def test_pipeline_stages(spark, tmp_path):
     lab = spark.read.parquet(f"{src}/labels.parquet").toPandas().set_index("doc_id")["quality"]
     q = set(seen[0]["doc_id"])
     assert q <= set(data["doc_id"]) and all(i in q for i, v in lab.items() if v == 1)
+    model = train_quality(docs, spark.read.parquet(f"{src}/labels.parquet"))
+    views = [np.stack([f(*x) for x in data[c].itertuples(index=False)]).astype(float) for f, c in ((quality.text_features, ["text"]), (quality.meta_features, ["text", "lang", "source", "n_chars"]))]
+    assert q == set(data["doc_id"][model.score(*views) >= 0.5])
     best = seen[0].groupby("text")["doc_id"].max()
     assert set(seen[1]["doc_id"]) == set(best)
     comp = {x["doc_id"]: x["component_id"] for x in simhash_dedup(spark.createDataFrame(seen[1])).collect()}
@@ -623,9 +622,12 @@ def test_pipeline_stages(spark, tmp_path):
     epochs = {x["doc_id"]: x["epochs"] for x in mix_sources(spark.createDataFrame(seen[2])).collect()}
     assert Counter(seen[3]["doc_id"]) == {i: n for i, n in epochs.items() if n}
     enc = Encoder(tokenizer_path("byte_bpe_50k.json"))
-    want = sum(len(enc(t)) // 4 + 1 for t in seen[3]["text"])
-    assert seen[4]["length"].sum() == want
-    assert sorted(map(str, cp.run(spark, src).collect())) == sorted(map(str, seen[4].itertuples(index=False))) or cp.run(spark, src).count() == len(seen[4])
+    want = Counter((i, len(enc(t)) // 4 + 1) for i, t in zip(seen[3]["doc_id"], seen[3]["text"]))
+    heads = seen[4][seen[4]["start"] == 0]
+    assert Counter(zip(heads["doc_id"], heads["doc_tokens"])) == want
+    assert seen[4]["length"].sum() == sum(n * k for (_, n), k in want.items())
+    again = cp.run(spark, src).toPandas()
+    assert Counter(again.itertuples(index=False, name=None)) == Counter(seen[4].itertuples(index=False, name=None))
 
 
 def test_stages_take_odd_rows(spark, docs, none, tmp_path):
