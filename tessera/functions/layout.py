@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -13,3 +16,17 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
+def few(df: DataFrame, rows: int) -> Callable[[DataFrame], DataFrame]:
+    """`broadcast` if `df` has at most `rows` rows, which are counted no further, else a function that does nothing."""
+    return F.broadcast if df.limit(rows + 1).count() <= rows else lambda d: d
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """End the plan's growth: a checkpoint in the shared folder, or a cache where none is named."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()

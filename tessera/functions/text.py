@@ -86,7 +86,8 @@ def words(c: Column, pattern: str = WORD) -> Column:
 def words_cjk(c: Column) -> Column:
     """Word tokens, with each run of Han characters as single characters and pairs.
 
-    No dictionary is needed to find a Chinese word inside a longer run.
+    No dictionary is needed to find a Chinese word inside a longer run. Texts without Han
+    characters give their words.
     """
     han = "[一-鿿]"
     rest = F.regexp_replace(c, han, " ")
@@ -100,7 +101,7 @@ def words_cjk(c: Column) -> Column:
             ).otherwise(F.array().cast("array<string>")),
         )
     )
-    return F.concat(words(rest), singles, pairs)
+    return F.when(F.rlike(c, F.lit(han)), F.concat(words(rest), singles, pairs)).otherwise(words(c))
 
 
 def ascii_tokens(c: Column) -> Column:

@@ -6,6 +6,7 @@ transform and keeps columns it does not know.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions import text as tx
+from ..functions.layout import cut, few
 
 
 # --- cleaning -----------------------------------------------------------------------------
@@ -133,77 +135,129 @@ def dedup_hash(docs: DataFrame, content: str = "content", order: str = "ord") ->
     return keyed.join(first, F.col(order) == F.col("_first"), "left_semi").drop("_hash")
 
 
-def similar_pairs(docs: DataFrame, threshold: float, vector: str = "embedding", block: str | None = None, order: str = "ord", batch: int = 2048) -> DataFrame:
+#: Bytes of vectors in one block of `similar_pairs`.
+BLOCK_BYTES = 64 << 20
+
+
+def similar_pairs(docs: DataFrame, threshold: float, vector: str = "embedding", block: str | None = None, order: str = "ord") -> DataFrame:
     """Pairs (a, b), a < b by `order`, with cosine >= threshold, exactly.
 
-    Rows are dealt to g blocks so that a pair of blocks is one task's product of two
-    matrices; each row is sent to g tasks. `block` limits pairs to rows that agree in it.
+    Rows that agree in `block` (all, without one) are dealt to blocks so that a pair of blocks is one
+    task's product of two matrices. There are as many blocks as the cores need, about two square
+    roots of their number, and more only where a block would pass `BLOCK_BYTES`: a row is sent to each.
     """
-    n = docs.count()
-    g = max(1, -(-n // batch))
+    spark = docs.sparkSession
     d = docs.select(F.col(order).alias("o"), F.transform(vector, lambda x: x.cast("double")).alias("v"), (F.col(block).cast("string") if block else F.lit("")).alias("k"))
-    d = d.where("v is not null").withColumn("own", F.pmod(F.xxhash64("o"), F.lit(g)).cast("int"))
-    d = d.withColumn("other", F.explode(F.expr(f"sequence(0, {g - 1})")))
-    d = d.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
+    d = d.where("v is not null")
+    n, width = d.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    wanted = max(math.ceil(2 * math.sqrt(spark.sparkContext.defaultParallelism)), -(-n * 8 * (width or 1) // BLOCK_BYTES))
+    own = d.groupBy(F.col("k").alias("k2")).agg(F.ceil(F.count(F.lit(1)) / max(256, -(-n // wanted))).cast("int").alias("g"))
+    d = d.join(few(own, 100_000)(own), F.expr("k <=> k2"))
+    d = d.withColumn("own", F.pmod(F.xxhash64("o"), F.col("g")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, g - 1)")))
+    d = d.select("o", "v", "k", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
         x = np.stack(pdf["v"].to_numpy()).astype(float)
         x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
-        o, own, k = pdf["o"].to_numpy(), pdf["own"].to_numpy(), pdf["k"].to_numpy()
+        o, mine = pdf["o"].to_numpy(), pdf["own"].to_numpy()
         same = pdf["p"].iloc[0] == pdf["q"].iloc[0]
         out = []
-        for lo in range(0, len(x), batch):
-            s = x[lo : lo + batch] @ x.T
-            ok = (s >= threshold) & (o[lo : lo + batch, None] < o[None, :]) & (k[lo : lo + batch, None] == k[None, :])
-            if not same:
-                ok &= own[lo : lo + batch, None] != own[None, :]
-            i, j = np.nonzero(ok)
-            out.append(pd.DataFrame({"a": o[lo + i], "b": o[j], "cosine": s[i, j]}))
+        for lo in range(0, len(x), 2048):
+            for at in range(0, len(x), 8192):
+                s = x[lo : lo + 2048] @ x[at : at + 8192].T
+                ok = (s >= threshold) & (o[lo : lo + 2048, None] < o[None, at : at + 8192])
+                if not same:
+                    ok &= mine[lo : lo + 2048, None] != mine[None, at : at + 8192]
+                i, j = np.nonzero(ok)
+                out.append(pd.DataFrame({"a": o[lo + i], "b": o[at + j], "cosine": s[i, j]}))
         return pd.concat(out)
 
-    return d.groupBy("p", "q").applyInPandas(run, f"a {docs.schema[order].dataType.simpleString()}, b {docs.schema[order].dataType.simpleString()}, cosine double")
+    kind = docs.schema[order].dataType.simpleString()
+    return d.groupBy("k", "p", "q").applyInPandas(run, f"a {kind}, b {kind}, cosine double")
+
+
+#: Pairs of a component up to which one task decides on it.
+SMALL_COMPONENT = 200_000
 
 
-def dedup_embedding(docs: DataFrame, threshold: float = 0.95, vector: str = "embedding", content: str = "content", order: str = "ord", block: str | None = None) -> DataFrame:
-    """Greedy near-dedup in `order`: a document that is near a kept one is dropped, but if it
-    is longer than that one it takes its place.
+def dedup_embedding(docs: DataFrame, threshold: float = 0.95, vector: str = "embedding", content: str = "content", order: str = "ord", block: str | None = None, small: int = SMALL_COMPONENT) -> DataFrame:
+    """Near-dedup in `order`: each document that is still there looks at the later ones near it, in
+    order, and drops those that are not longer; the first longer one drops it instead.
 
-    Decisions interact only through near pairs, so each round settles the documents whose
-    earlier neighbours are all settled; a round is two joins, and rounds are as many as
-    the longest chain of decisions.
+    Decisions interact only through near pairs. A component of up to `small` pairs is decided in one
+    task. In larger ones, round by round, all documents act that come first among what is left
+    within two steps of them: no other can change what they see. Rounds go on until no pair is left.
     """
-    pairs = similar_pairs(docs, threshold, vector, block, order)
-    linked = pairs.select(F.col("a").alias("o")).union(pairs.select("b")).distinct()
-    size = docs.select(F.col(order).alias("o"), F.length(content).alias("len"))
-    part = linked.join(size, "o")
-    # greedy inside a component runs over a component's rows and pairs
+    pairs = cut(similar_pairs(docs, threshold, vector, block, order).select("a", "b"))
+    size = docs.select(F.col(order).alias("o"), F.coalesce(F.length(content), F.lit(0)).alias("len"))
+    for end in ("a", "b"):
+        pairs = pairs.join(size.select(F.col("o").alias(end), F.col("len").alias(f"len_{end}")), end)
     comps = _components(pairs)
-    edges = pairs.join(comps.withColumnRenamed("o", "a"), "a").select("c", "a", "b")
-    rows = part.join(comps, "o").select("c", "o", "len").alias("r")
+    edges = pairs.join(comps.withColumnRenamed("o", "a"), "a").select("c", "a", "b", "len_a", "len_b")
+    large = cut(edges.groupBy("c").count().where(F.col("count") > small).select("c"))
 
-    def greedy(key, r: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
+    def greedy(e: pd.DataFrame) -> pd.DataFrame:
+        length = dict(zip(e["a"], e["len_a"])) | dict(zip(e["b"], e["len_b"]))
+        later: dict = {}
         for a, b in zip(e["a"], e["b"]):
-            near.setdefault(b, set()).add(a)
-            near.setdefault(a, set()).add(b)
-        length = dict(zip(r["o"], r["len"]))
-        kept: list = []
-        for o in sorted(length):
-            hit = next((i for i, k in enumerate(kept) if k in near.get(o, ())), None)
-            if hit is None:
-                kept.append(o)
-            elif length[o] > length[kept[hit]]:
-                kept[hit] = o
-        return pd.DataFrame({"o": sorted(set(length) - set(kept))})
+            later.setdefault(a, []).append(b)
+        gone = set()
+        for a in sorted(later):
+            for b in sorted(later[a]) if a not in gone else ():
+                if b in gone:
+                    continue
+                if length[a] < length[b]:
+                    gone.add(a)
+                    break
+                gone.add(b)
+        return pd.DataFrame({"o": sorted(gone)})
 
     kind = docs.schema[order].dataType.simpleString()
-    edges = edges.withColumnRenamed("c", "component")
-    dropped = rows.groupBy("c").cogroup(edges.groupBy("component")).applyInPandas(greedy, f"o {kind}")
+    dropped = edges.join(few(large, 100_000)(large), "c", "left_anti").groupBy("c").applyInPandas(greedy, f"o {kind}")
+    if not large.isEmpty():
+        dropped = dropped.union(_by_rounds(edges.join(few(large, 100_000)(large), "c", "left_semi").drop("c")))
     return docs.join(dropped.withColumnRenamed("o", order), order, "left_anti")
 
 
+def _by_rounds(edges: DataFrame) -> DataFrame:
+    """(o) of the documents that the rule of `dedup_embedding` drops; edges: (a, b, len_a, len_b), a < b."""
+    e, out = cut(edges), None
+    while not e.isEmpty():
+        both = e.select("a", "b").union(e.select("b", "a"))
+        near = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("o"), F.least("a", "m").alias("m"))
+        far = both.join(near.withColumnRenamed("o", "b"), "b").groupBy("a").agg(F.min("m").alias("m2"))
+        act = e.join(far, "a").where("m2 = a").drop("m2")
+        # the first longer one stops it
+        stop = act.groupBy("a").agg(F.min(F.when(F.col("len_b") > F.col("len_a"), F.col("b"))).alias("stop"))
+        act = cut(act.join(stop, "a").select("a", "b", "stop"))
+        gone = act.where("stop is null or b < stop").select(F.col("b").alias("o")).union(act.where("stop is not null").select("a")).distinct()
+        gone = cut(gone)
+        settled = cut(gone.union(act.select("a")).distinct())
+        for end in ("a", "b"):
+            e = e.join(settled.withColumnRenamed("o", end), end, "left_anti")
+        e = cut(e.select("a", "b", "len_a", "len_b"))
+        out = gone if out is None else out.union(gone)
+    return out
+
+
+def deduplicate(docs: DataFrame, mode: str = "hash", embedding=None, threshold: float = 0.95, content: str = "content", order: str = "ord") -> DataFrame:
+    """`hash` (equal contents), `embedding` (near ones, by a provider's embeddings of the first 2,000 characters) or `both`."""
+    if mode not in ("hash", "embedding", "both"):
+        raise ValueError("mode must be hash, embedding or both")
+    if mode != "hash" and embedding is None:
+        raise ValueError("embedding and both need an embedding provider")
+    d = docs if mode == "embedding" else dedup_hash(docs, content, order)
+    if mode == "hash":
+        return d
+    from .providers import embed_column
+
+    head = d.withColumn("_head", F.substr(F.coalesce(F.col(content), F.lit("")), F.lit(1), F.lit(2000)))
+    d = cut(head.withColumn("_vector", embed_column(embedding, "_head")).drop("_head"))
+    return dedup_embedding(d, threshold, "_vector", content, order).drop("_vector")
+
+
 def _components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     """(o, c): smallest order key reachable, for every row that has a pair.
 
@@ -211,8 +265,6 @@ def _components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     and not its diameter. Neither parts what is connected, so once every row points at one root
     the roots are exact; if `rounds` do not get there it raises.
     """
-    spark = pairs.sparkSession
-    cut = (lambda d: d.checkpoint()) if spark.conf.get("spark.checkpoint.dir", None) else (lambda d: d.cache())
     e = cut(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
     for _ in range(rounds):
         ends = e.select(F.col("a").alias("o"), F.lit(1).alias("up"), F.lit(0).alias("root"))
@@ -257,7 +309,7 @@ def _check(size: int, overlap: int) -> None:
         raise ValueError(f"overlap ({overlap}) must be less than chunk_size ({size})")
 
 
-def fixed_size_cut(t: str, size: int, overlap: int, separator: str, strict: bool = False) -> list[tuple[str]]:
+def fixed_sizecut(t: str, size: int, overlap: int, separator: str, strict: bool = False) -> list[tuple[str]]:
     """Windows that end at the last separator, else the last blank, in their second half.
 
     The next window starts the trimmed piece's length less `overlap` on, and a piece no longer than
@@ -289,14 +341,14 @@ def fixed_size_cut(t: str, size: int, overlap: int, separator: str, strict: bool
 
 def chunk_fixed_size(docs: DataFrame, chunk_size: int = 500, overlap: int = 50, separator: str = "\n", strict: bool = False, id_col: str = "id", content: str = "content") -> DataFrame:
     _check(chunk_size, overlap)
-    return _row_chunks(docs, lambda t: fixed_size_cut(t, chunk_size, overlap, separator, strict), id_col, content)
+    return _row_chunks(docs, lambda t: fixed_sizecut(t, chunk_size, overlap, separator, strict), id_col, content)
 
 
 #: From paragraphs down to single characters.
 SEPARATORS = ("\n\n", "\n", "。", ".", "！", "!", "？", "?", "；", ";", " ", "")
 
 
-def recursive_cut(t: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[tuple[str]]:
+def recursivecut(t: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[tuple[str]]:
     """Merge pieces up to `size` at each separator; a longer piece is cut at the next one. Then
     each chunk is led by the last `overlap` characters of the one before, as it then reads."""
     if not t.strip():
@@ -338,7 +390,7 @@ def recursive_cut(t: str, size: int, overlap: int, separators: tuple[str, ...] =
 
 def chunk_recursive(docs: DataFrame, chunk_size: int = 500, overlap: int = 50, separators: tuple[str, ...] = SEPARATORS, id_col: str = "id", content: str = "content") -> DataFrame:
     _check(chunk_size, overlap)
-    return _row_chunks(docs, lambda t: recursive_cut(t, chunk_size, overlap, separators), id_col, content)
+    return _row_chunks(docs, lambda t: recursivecut(t, chunk_size, overlap, separators), id_col, content)
 
 
 def pack_sentences(parts: list[str], longest: int) -> list[list[str]]:
@@ -364,7 +416,7 @@ def _slices(t: str, n: int) -> list[str]:
     return [t[i : i + n] for i in range(0, len(t), n)]
 
 
-def sentence_cut(t: str, longest: int) -> list[tuple[str]]:
+def sentencecut(t: str, longest: int) -> list[tuple[str]]:
     parts = _sentences(t)
     if len(parts) == 1 and len(parts[0].strip()) > longest:
         return [(x,) for x in _slices(parts[0].strip(), longest)]
@@ -373,17 +425,17 @@ def sentence_cut(t: str, longest: int) -> list[tuple[str]]:
 
 def chunk_sentences(docs: DataFrame, max_chunk_size: int = 1000, id_col: str = "id", content: str = "content") -> DataFrame:
     """Sentences packed up to a size: the semantic chunker without embeddings."""
-    return _row_chunks(docs, lambda t: sentence_cut(t, max_chunk_size), id_col, content)
+    return _row_chunks(docs, lambda t: sentencecut(t, max_chunk_size), id_col, content)
 
 
-def semantic_cut(t: str, embed: Callable[[list[str]], list], threshold: float, shortest: int, longest: int) -> list[tuple[str]]:
+def semanticcut(t: str, embed: Callable[[list[str]], list], threshold: float, shortest: int, longest: int) -> list[tuple[str]]:
     """Break where neighbouring sentences' embeddings have a cosine under `threshold`; short groups
     join the one before, long ones are packed anew."""
     import numpy as np
 
     parts = _sentences(t)
     if len(parts) < 2:
-        return sentence_cut(t, longest)
+        return sentencecut(t, longest)
     x = np.asarray(embed(parts), float)
     n = np.sqrt((x * x).sum(axis=1))
     d = n[1:] * n[:-1]
@@ -406,10 +458,10 @@ def semantic_cut(t: str, embed: Callable[[list[str]], list], threshold: float, s
 
 
 def chunk_semantic(docs: DataFrame, embedding, threshold: float = 0.5, min_chunk_size: int = 50, max_chunk_size: int = 1000, id_col: str = "id", content: str = "content") -> DataFrame:
-    return _row_chunks(docs, lambda t: semantic_cut(t, embedding.embed_batch, threshold, min_chunk_size, max_chunk_size), id_col, content)
+    return _row_chunks(docs, lambda t: semanticcut(t, embedding.embed_batch, threshold, min_chunk_size, max_chunk_size), id_col, content)
 
 
-def markdown_cut(t: str, size: int, max_level: int, include_headings: bool) -> list[tuple[str, str, int]]:
+def markdowncut(t: str, size: int, max_level: int, include_headings: bool) -> list[tuple[str, str, int]]:
     """Blocks under headings up to `max_level`; long ones are packed by paragraphs, each under its heading.
 
     A heading with no line before the next one is lost, fenced code is not told apart and
@@ -450,7 +502,7 @@ def markdown_cut(t: str, size: int, max_level: int, include_headings: bool) -> l
 
 
 def chunk_markdown(docs: DataFrame, chunk_size: int = 500, max_heading_level: int = 2, include_headings: bool = True, id_col: str = "id", content: str = "content") -> DataFrame:
-    return _row_chunks(docs, lambda t: markdown_cut(t, chunk_size, max_heading_level, include_headings), id_col, content, "heading string, heading_level int")
+    return _row_chunks(docs, lambda t: markdowncut(t, chunk_size, max_heading_level, include_headings), id_col, content, "heading string, heading_level int")
 
 
 def chunk_with_headers(chunks: DataFrame, docs: DataFrame, llm, template: str = "[摘要: {summary}]", id_col: str = "id", content: str = "content") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions import text as tx
+from ..functions.layout import cut, few
 from .search import top_k, with_source
 
 #: Default types of an extraction, fixed values.
@@ -43,7 +44,7 @@ def extract_graph(docs: DataFrame, llm, entity_types: tuple[str, ...] = ENTITY_T
 def graph_tables(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entities and relations of extractions; relations with an end that was not extracted go."""
     e = extracted.select("document_id", "ord", F.posexplode("entities").alias("i", "e"))
-    key = (F.col("ord") * 100_000 + F.col("i")).alias("ord")
+    key = (F.col("ord").cast("decimal(19,0)") * F.lit(10**10) + F.col("i")).alias("ord")  # a document has fewer than 10**10 of them
     meta = F.create_map(F.lit("sourceDocumentId"), F.col("document_id")).alias("metadata")
     entities = e.select(entity_id(F.col("e.name")).alias("id"), F.col("e.name").alias("name"), F.col("e.type").alias("type"), meta, key, "document_id")
     r = extracted.select("document_id", "ord", F.posexplode("relations").alias("i", "r"))
@@ -86,32 +87,28 @@ def neighbors(seeds: DataFrame, entities: DataFrame, relations: DataFrame, hops:
     a = arcs(relations if relation_types is None else relations.where(F.col("type").isin(relation_types)))
     known = entities if entity_types is None else entities.where(F.col("type").isin(entity_types))
     a = a.join(known.select(F.col("id").alias("there")), "there", "left_semi")
-    reached = seeds.select("seed", F.col("seed").alias("id")).distinct()
-    reached = reached.withColumns({"hop": F.lit(0), "place": F.lit(0).cast("long"), "source": F.lit(None).cast("string"), "target": F.lit(None).cast("string"), "type": F.lit(None).cast("string")})
+    if hops > 1:
+        a = cut(a)
     kind = dict(entities.dtypes)["id"]
-    reached = reached.withColumn("source", F.col("source").cast(kind)).withColumn("target", F.col("target").cast(kind))
+    start = seeds.select("seed", F.col("seed").alias("id")).distinct()
+    start = start.select("seed", "id", F.lit(0).alias("hop"), F.lit(0).cast("long").alias("place"), *[F.lit(None).cast(t).alias(c) for c, t in (("source", kind), ("target", kind), ("type", "string"))])
+    reached = front = cut(start) if hops > 1 else start
     for h in range(1, hops + 1):
-        edge = reached.where(F.col("hop") == h - 1).select("seed", F.col("id").alias("here"), F.col("place").alias("parent"))
+        edge = front.select("seed", F.col("id").alias("here"), F.col("place").alias("parent"))
         step = edge.join(a, "here").select("seed", F.col("there").alias("id"), "source", "target", "type", F.struct("parent", "way", "ord").alias("how"))
         step = step.groupBy("seed", "id").agg(F.min("how").alias("how"), F.min_by(F.struct("source", "target", "type"), "how").alias("r"))
         step = step.join(reached.select("seed", "id"), ["seed", "id"], "left_anti")
         base = reached.groupBy("seed").agg(F.max("place").alias("base"))
         w = W.partitionBy("seed").orderBy("how", "id")
         new = step.join(base, "seed").select("seed", "id", F.lit(h).alias("hop"), (F.col("base") + F.row_number().over(w)).alias("place"), "r.source", "r.target", "r.type")
-        reached = reached.unionByName(new)
-        if hops > 2:
-            reached = _cut(reached)
-    out = reached.where("hop > 0")
-    return out if limit is None else out.where(F.col("place") <= limit)
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """End the plan's growth: a checkpoint in the shared folder, or a cache where none is named."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
+        new = new if limit is None else new.where(F.col("place") <= limit)
+        front = cut(new) if h < hops else new
+        reached = reached.unionByName(front)
+        if limit is not None and h < hops:
+            # a seed that has its limit goes no further
+            full = front.groupBy("seed").agg(F.max("place").alias("last")).where(F.col("last") >= limit)
+            front = front.join(full, "seed", "left_anti")
+    return reached.where("hop > 0")
 
 
 def shortest_paths(pairs: DataFrame, entities: DataFrame, relations: DataFrame, max_hops: int = 6) -> DataFrame:
@@ -130,7 +127,7 @@ def shortest_paths(pairs: DataFrame, entities: DataFrame, relations: DataFrame,
         step = front.join(open_, "source_id", "left_semi").join(a, F.col("id") == F.col("here"))
         step = step.groupBy("source_id", "there").agg(F.min("path").alias("path"))
         step = step.select("source_id", F.col("there").alias("id"), F.concat("path", F.array("there")).alias("path"))
-        front = _cut(step.join(seen.select("source_id", "id"), ["source_id", "id"], "left_anti"))
+        front = cut(step.join(seen.select("source_id", "id"), ["source_id", "id"], "left_anti"))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -138,15 +135,22 @@ def shortest_paths(pairs: DataFrame, entities: DataFrame, relations: DataFrame,
     return got.select("source_id", "target_id", "path", (F.size("path") - 1).alias("hops"))
 
 
+def _grams(c: Column, n: int) -> Column:
+    """Distinct substrings of n characters."""
+    return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substr(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
 def keyword_entities(queries: DataFrame, entities: DataFrame, text: str = "query") -> DataFrame:
     """(query_id, id) of entities whose name or type contains a word of the query (lower-cased, cut at white space).
 
-    The stated queries' words meet all entities, a broadcast of what the queries hold; a blank query
-    matches nothing.
+    Words meet entities by their first three characters (all, if they have fewer), an equality, and what
+    meets is looked at in full; a blank query matches nothing.
     """
     kw = queries.select("query_id", F.explode(F.filter(F.split(F.lower(F.col(text)), f"{tx.SPACE}+"), lambda w: F.length(w) > 0)).alias("kw")).distinct()
+    kw = kw.withColumn("gram", F.substr("kw", F.lit(1), F.lit(3)))
     hay = entities.select("id", F.concat_ws("\n", F.lower("name"), F.lower("type")).alias("hay"))
-    return hay.join(F.broadcast(kw) if kw.limit(100_001).count() <= 100_000 else kw, F.contains("hay", "kw")).select("query_id", "id").distinct()
+    hay = hay.select("id", "hay", F.explode(F.concat(*[_grams(F.col("hay"), n) for n in (1, 2, 3)])).alias("gram"))
+    return hay.join(few(kw, 100_000)(kw), "gram").where(F.contains("hay", "kw")).select("query_id", "id").distinct()
 
 
 def keyword_relations(matched: DataFrame, relations: DataFrame) -> DataFrame:
@@ -269,7 +273,7 @@ class Neo4jGraphStore:
 
 def build_graph(docs: DataFrame, llm, **options) -> tuple[GraphStore, DataFrame]:
     """(graph, one-row report): documents, errors, entities, relations."""
-    x = _cut(extract_graph(docs, llm, **options))
+    x = cut(extract_graph(docs, llm, **options))
     entities, relations = graph_tables(x)
     store = GraphStore(entities, relations)
     seen = x.agg(F.count(F.lit(1)).alias("document_count"), F.count("error").alias("error_count"))

@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as tx
-from ..functions.vectors import cosine, norm, score_from_cosine
+from ..functions.layout import few
+from ..functions.vectors import cosine, score_from_cosine
 
-#: Queries up to which all of them are sent to every task that scans chunks.
-FEW_QUERIES = 20_000
+#: Bytes of query vectors that are sent to every task that scans chunks.
+QUERY_BYTES = 64 << 20
 #: Query terms up to which they are sent to every part of an index (a row is under 100 bytes).
 FEW_TERMS = 500_000
+#: Distinct terms up to which a stored index is read by a list of them.
+FEW_WORDS = 200
 
 
 def top_k(hits: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), score: str = "score", tie: str = "chunk_id") -> DataFrame:
@@ -33,103 +36,104 @@ def with_source(hits: DataFrame, source: str) -> DataFrame:
     return hits.withColumn("source", F.lit(source))
 
 
+def _nearest(queries: pa.Table, k: int, slack: float):
+    """Arrow batches (id, embedding) -> (query_id, chunk_id, score) that hold every query's k best chunks of a batch.
+
+    One matrix product for all queries and the batch's vectors of each length. `slack` keeps what
+    rounding could bring level with the k-th.
+    """
+    import numpy as np
+
+    def matrix(column, length: int):
+        rows = np.flatnonzero(np.asarray(column.value_lengths().fill_null(-1)) == length)
+        x = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), length)
+        with np.errstate(all="ignore"):
+            n = np.sqrt(np.einsum("ij,ij->i", x, x))
+            # a zero vector, or one with a null or a NaN, is at cosine 0 to all
+            good = (n > 0) & np.isfinite(n)
+            return rows, np.where(good[:, None], x / np.where(good, n, 1.0)[:, None], 0.0)
+
+    ids, vectors = queries["query_id"].combine_chunks(), queries["embedding"].combine_chunks()
+    blocks = {int(n): matrix(vectors, int(n)) for n in np.unique(np.asarray(vectors.value_lengths().fill_null(-1))) if n >= 0}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n, (q, qm) in blocks.items():
+                rows, x = matrix(b.column(1), n)
+                step = max(1, 4_000_000 // max(1, len(rows)))
+                for at in range(0, len(q) if len(rows) else 0, step):
+                    s = qm[at : at + step] @ x.T
+                    if len(rows) > k:
+                        s_k = np.partition(s, len(rows) - k, axis=1)[:, len(rows) - k]
+                        i, j = np.nonzero(s >= (s_k - slack)[:, None])
+                    else:
+                        i, j = (v.ravel() for v in np.indices(s.shape))
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(q[at + i])), b.column(0).take(pa.array(rows[j])), pa.array(s[i, j])], ["query_id", "chunk_id", "score"]
+                    )
+
+    return run
+
+
 def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 5, threshold: float = 0.0, score_mode: str = "cosine", digits: int | None = None) -> DataFrame:
     """Exact nearest chunks by cosine for each query; chunks without an embedding are skipped.
 
-    `digits` rounds scores before ranking, for comparisons between engines.
+    A vector of zeros, or with a null or NaN in it, has cosine 0 to every other; chunks whose vectors
+    are of another length than a query's are not compared with it. `digits` rounds scores
+    before ranking, for comparisons between engines.
 
-    The stated query set is what meets all chunks: queries, counted, go out in blocks of at most
-    `FEW_QUERIES`; a task keeps only its k best for each query.
+    The stated query set is what meets all chunks: queries go out in blocks of at most
+    `QUERY_BYTES`, a block is a pass over the chunks; a task keeps only its k best for each query.
     """
-    q = queries.select("query_id", F.transform("embedding", lambda x: x.cast("double")).alias("qv"))
-    q = q.withColumn("qn", norm(F.col("qv")))
-    c = chunks.where("embedding is not null").select(F.col("id").alias("chunk_id"), F.transform("embedding", lambda x: x.cast("double")).alias("cv"))
-    c = c.withColumn("cn", norm(F.col("cv")))
-    blocks = max(1, -(-queries.count() // FEW_QUERIES))
-    out = None
+    n, width = queries.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    blocks = max(1, -(-n * 8 * max(1, width or 1) // QUERY_BYTES))
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {chunks.schema['id'].dataType.simpleString()}, score double"
+    rows, out = chunks.where("embedding is not null").select("id", "embedding"), None
     for b in range(blocks):
-        own = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        d = F.col("qn") * F.col("cn")
-        dot = F.aggregate(F.zip_with("qv", "cv", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        sim = F.when((d > 0) & ~F.isnan(d), dot / d).otherwise(F.lit(0.0))
-        score = score_from_cosine(sim, score_mode)
-        hits = c.crossJoin(F.broadcast(own)).select("query_id", "chunk_id", (score if digits is None else F.round(score, digits)).alias("score"))
-        hits = top_k(hits.where(F.col("score") >= threshold), k)
+        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        block = own.select("query_id", "embedding").toArrow()
+        hits = rows.mapInArrow(_nearest(block, k, 0.0 if digits is None else 2 * 10.0**-digits), kinds)
+        score = score_from_cosine(F.col("score"), score_mode)
+        hits = hits.withColumn("score", score if digits is None else F.round(score, digits))
+        hits = top_k(hits, k).where(F.col("score") >= threshold)
         out = hits if out is None else out.unionByName(hits)
     return with_source(out, "vector")
 
 
-def vector_search_arrow(queries: DataFrame, chunks: DataFrame, k: int = 5, threshold: float = 0.0, score_mode: str = "cosine") -> DataFrame:
-    """`vector_search` for heavy loads: one matrix product an Arrow batch instead of an expression a pair.
+# --- keyword search -----------------------------------------------------------------------
 
-    Every task gets the queries (their number is checked) and returns its k best for each.
-    """
-    import numpy as np
 
-    rows = queries.select("query_id", "embedding").limit(FEW_QUERIES + 1).collect()
-    if len(rows) > FEW_QUERIES:
-        return vector_search(queries, chunks, k, threshold, score_mode)
-    if not rows:
-        return vector_search(queries, chunks, k, threshold, score_mode)
-    qid = [r["query_id"] for r in rows]
-    qm = np.array([r["embedding"] for r in rows], float)
-    qn = np.sqrt((qm * qm).sum(axis=1))
-    qm = qm / np.where(qn > 0, qn, 1)[:, None]
-    kind = queries.schema["query_id"].dataType.simpleString()
-    ckind = chunks.schema["id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float)
-            x = flat.reshape(b.num_rows, -1)
-            n = np.sqrt((x * x).sum(axis=1))
-            s = qm @ (x / np.where(n > 0, n, 1)[:, None]).T
-            if score_mode == "inverse_distance":
-                s = 1.0 / (2.0 - s)
-            m = min(k + 8, s.shape[1])  # a few more, so that ties are settled by id later
-            best = np.argpartition(-s, m - 1, axis=1)[:, :m]
-            score = np.take_along_axis(s, best, axis=1)
-            edge = score.min(axis=1)
-            # rows with more ties at the edge than fit go whole
-            tied = np.flatnonzero((s >= edge[:, None]).sum(axis=1) > m)
-            i, j = np.repeat(np.arange(len(qid)), m), best.ravel()
-            if len(tied):
-                more_i, more_j = np.nonzero(s[tied] >= edge[tied][:, None])
-                keep = ~np.isin(i, tied)
-                i, j = np.r_[i[keep], tied[more_i]], np.r_[j[keep], more_j]
-            v = s[i, j]
-            ok = v >= threshold
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([qid[a] for a in i[ok]]), b.column(0).take(pa.array(j[ok])), pa.array(v[ok])], ["query_id", "chunk_id", "score"]
-            )
-
-    hits = chunks.where("embedding is not null").select("id", "embedding").mapInArrow(run, f"query_id {kind}, chunk_id {ckind}, score double")
-    return with_source(top_k(hits, k), "vector")
+def term_counts(tokens: Column) -> Column:
+    """Array of (term, tf) of a token array, by sorting it: rows are counted where they lie."""
 
+    def counted(s: Column) -> Column:
+        n = F.size(s)
+        heads = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        pair = lambda h: lambda i, j: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(h, j + 1), n) - i).alias("tf"))
+        return tx.let(heads, lambda h: F.transform(h, pair(h)))
 
-# --- keyword search -----------------------------------------------------------------------
+    return F.when(F.size(tokens) > 0, tx.let(F.sort_array(tokens), counted))
 
 
 class KeywordIndex:
     """Index partitioned by chunk: postings (chunk_id, term, tf, dl) and corpus statistics.
 
     Build once and store. Query terms, few, go to all parts; each part adds up its own chunks'
-    scores and keeps its best, so only those are shuffled.
+    scores and keeps its best, so only those are shuffled. `df` (term, df) is there in a stored index; without it
+    a search counts the documents of its own terms.
     """
 
-    def __init__(self, postings: DataFrame, stats: DataFrame, tokenize: Callable[[Column], Column]):
-        self.postings, self.stats, self.tokenize = postings, stats, tokenize
+    def __init__(self, postings: DataFrame, stats: DataFrame, tokenize: Callable[[Column], Column], df: DataFrame | None = None):
+        self.postings, self.stats, self.tokenize, self.df = postings, stats, tokenize, df
 
     @staticmethod
-    def build(chunks: DataFrame, tokenize: Callable[[Column], Column] = tx.words, content: str = "content") -> KeywordIndex:
+    def build(chunks: DataFrame, tokenize: Callable[[Column], Column] = tx.words_cjk, content: str = "content") -> KeywordIndex:
+        """Terms are counted in their rows; what is dealt by chunk, for searches to move no postings, is a row a chunk."""
         t = chunks.select(F.col("id").alias("chunk_id"), tokenize(F.coalesce(F.col(content), F.lit(""))).alias("t"))
+        t = t.select("chunk_id", F.size("t").alias("dl"), term_counts(F.col("t")).alias("p")).repartition("chunk_id")
         # a chunk without tokens has one posting of no term, so that it counts in the corpus; the
         # length comes with every posting, so statistics need no second reading of the texts
-        t = t.select("chunk_id", F.size("t").alias("dl"), F.explode_outer("t").alias("term"))
-        # dealt by chunk, as the scores of a query's chunks are added up: searching then moves no postings
-        postings = t.repartition("chunk_id").groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+        postings = t.select("chunk_id", "dl", F.explode_outer("p").alias("p")).select("chunk_id", "p.term", "p.tf", "dl")
         return KeywordIndex(postings, KeywordIndex._stats(postings), tokenize)
 
     @staticmethod
@@ -144,37 +148,51 @@ class KeywordIndex:
     def cached(self) -> KeywordIndex:
         """The same index with its postings kept by the executors; a lost part is made again."""
         kept = self.postings.persist()
-        return KeywordIndex(kept, KeywordIndex._stats(kept), self.tokenize)
+        return KeywordIndex(kept, KeywordIndex._stats(kept), self.tokenize, self.df)
 
     def save(self, path: str) -> None:
+        """Postings sorted by term within each part, so that a search for few terms skips most row groups."""
         self.postings.sortWithinPartitions("term").write.parquet(f"{path}/postings")
         self.stats.coalesce(1).write.parquet(f"{path}/stats")
+        spark = self.postings.sparkSession
+        df = spark.read.parquet(f"{path}/postings").where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        df.sortWithinPartitions("term").write.parquet(f"{path}/df")
 
     @staticmethod
-    def load(spark, path: str, tokenize: Callable[[Column], Column] = tx.words) -> KeywordIndex:
-        return KeywordIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"), tokenize)
+    def load(spark, path: str, tokenize: Callable[[Column], Column] = tx.words_cjk) -> KeywordIndex:
+        return KeywordIndex(*(spark.read.parquet(f"{path}/{x}") for x in ("postings", "stats")), tokenize, spark.read.parquet(f"{path}/df"))
 
     def search(self, queries: DataFrame, k: int = 5, threshold: float = 0.0, k1: float = 1.5, b: float = 0.75, text: str = "query", digits: int | None = None) -> DataFrame:
         """BM25. A term that a query repeats counts as often. Only scores above 0 and at least `threshold`.
 
         `digits` rounds scores before ranking, for comparisons between engines.
         """
+        return self.search_arms(queries, (b,), k, threshold, k1, text, digits).drop("arm")
+
+    def search_arms(self, queries: DataFrame, bs: tuple[float, ...], k: int = 5, threshold: float = 0.0, k1: float = 1.5, text: str = "query", digits: int | None = None) -> DataFrame:
+        """`search` for several `b` in one pass over the postings; `arm` is the place in `bs`."""
         terms = queries.select("query_id", F.explode(self.tokenize(F.coalesce(F.col(text), F.lit("")))).alias("term"))
         terms = terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-        few = terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS
-        small = F.broadcast if few else (lambda d: d)
-        df = self.postings.join(small(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        small, postings, known = few(terms, FEW_TERMS), self.postings, self.df
+        if known is not None and small is F.broadcast:
+            words = [r["term"] for r in terms.select("term").distinct().limit(FEW_WORDS + 1).collect()]
+            if len(words) <= FEW_WORDS:  # what the files can skip by
+                postings, known = postings.where(F.col("term").isin(words)), known.where(F.col("term").isin(words))
+        if known is None:
+            known = postings.join(small(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         n = F.col("n")
         # all that a query term brings to a posting, in one table of a row a query and term
-        asked = terms.join(small(df), "term").crossJoin(F.broadcast(self.stats)).select(
+        asked = small(terms).join(known, "term").crossJoin(F.broadcast(self.stats)).select(
             "query_id", "term", (F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * F.col("qf")).alias("idf"), "avgdl"
         )
-        hit = self.postings.join(small(asked), "term")
-        tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-        scored = hit.groupBy("query_id", "chunk_id").agg(F.sum(F.col("idf") * tf).alias("score"))
+        hit = postings.join(small(asked), "term")
+        part = lambda b: F.col("idf") * (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
+        scored = hit.groupBy("query_id", "chunk_id").agg(*[F.sum(part(b)).alias(f"s{i}") for i, b in enumerate(bs)])
+        arms = F.array(*[F.struct(F.lit(i).alias("arm"), F.col(f"s{i}").alias("score")) for i in range(len(bs))])
+        scored = scored.select("query_id", "chunk_id", F.inline(arms)) if len(bs) > 1 else scored.select("query_id", "chunk_id", F.lit(0).alias("arm"), F.col("s0").alias("score"))
         if digits is not None:
             scored = scored.withColumn("score", F.round("score", digits))
-        return with_source(top_k(scored.where((F.col("score") > 0) & (F.col("score") >= threshold)), k), "keyword")
+        return with_source(top_k(scored.where((F.col("score") > 0) & (F.col("score") >= threshold)), k, ("arm", "query_id")), "keyword")
 
 
 # --- fusion -------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as tx
-from ..functions.layout import spread
+from ..functions.layout import few, spread
 from ..operators import evaluation as ev
 from ..operators import generation as gen
 from ..operators import post, search
@@ -112,13 +112,6 @@ def vector_search_topk(spark, sf_dir):
     return search.vector_search(vector_questions(v), v, K, digits=DIGITS).select(*HITS)
 
 
-@query()
-def vector_search_arrow(spark, sf_dir):
-    """The same search by matrix products; tests hold it to `vector_search_topk`."""
-    v = vectors(spark, sf_dir)
-    return search.vector_search_arrow(vector_questions(v), v, K).select(*HITS)
-
-
 @query("WITH " + cosine_sql(5, rows="e.label = 3") + " SELECT * FROM vhits")
 def vector_search_filter(spark, sf_dir):
     v = vectors(spark, sf_dir)
@@ -193,8 +186,8 @@ _ARMS = "WITH " + bm25_sql(10) + "," + bm25_sql(10, 0.0, "flat")
 
 def _arms(spark, sf_dir):
     index = search.KeywordIndex.build(chunks_of(spark, sf_dir)).cached()
-    q = questions(spark, sf_dir)
-    return index.search(q, 2 * K, digits=DIGITS), index.search(q, 2 * K, b=0.0, digits=DIGITS)
+    hits = index.search_arms(questions(spark, sf_dir), (0.75, 0.0), 2 * K, digits=DIGITS).persist()
+    return tuple(hits.where(F.col("arm") == i).drop("arm") for i in (0, 1))
 
 
 def _scaled(name: str, weight: float) -> str:
@@ -223,7 +216,7 @@ def fusion_minmax(spark, sf_dir):
     + f", u AS (SELECT query_id, chunk_id, 1.0 / (60 + rank) AS score FROM hits UNION ALL SELECT query_id, chunk_id, 1.0 / (60 + rank) FROM flat), g AS (SELECT query_id, chunk_id, round(sum(score), 6) AS score FROM u GROUP BY ALL) {_RANK} FROM g QUALIFY rank <= 5"
 )
 def rrf_fuse(spark, sf_dir):
-    return _rounded(search.rrf(list(_arms(spark, sf_dir)), 4 * K), K)
+    return _rounded(search.rrf([*_arms(spark, sf_dir)], 4 * K), K)
 
 
 @query(
@@ -270,7 +263,8 @@ def post_threshold(spark, sf_dir):
 def hits_with_text(spark, sf_dir, k: int = K) -> DataFrame:
     h = keyword_hits(spark, sf_dir, k)
     h = h.join(chunks_of(spark, sf_dir).select(F.col("id").alias("chunk_id"), "content", F.col("source").alias("document_id")), "chunk_id")
-    return h.join(F.broadcast(questions(spark, sf_dir)), "query_id")
+    q = questions(spark, sf_dir)
+    return h.join(few(q, 100_000)(q), "query_id")
 
 
 _TOKENS = "regexp_extract_all(lower({}), '[a-z0-9一-鿿]+')"
@@ -376,7 +370,8 @@ _EVAL = (
 def qrels(spark, sf_dir) -> DataFrame:
     """Documents that hold a passage: the stated passages, a table of fixed meaning, meet all texts."""
     d = chunks_of(spark, sf_dir).select(F.col("id").alias("chunk_id"), "content")
-    return d.join(F.broadcast(questions(spark, sf_dir)), F.contains("content", "query")).select("query_id", "chunk_id")
+    q = questions(spark, sf_dir)
+    return d.join(few(q, 100_000)(q), F.contains("content", "query")).select("query_id", "chunk_id")
 
 
 def _metrics(spark, sf_dir, k: int = 10) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,22 +78,50 @@ def test_dedup(spark):
     assert sorted(r["ord"] for r in dx.dedup_embedding(longer).collect()) == [2, 3]
 
 
-def test_dedup_embedding_equals_greedy(spark):
+def survivors(size, near):
+    """The rule in a plain loop: size of each document in order, near(i, j)."""
+    keep = [True] * len(size)
+    for i in range(len(size)):
+        for j in range(i + 1, len(size)) if keep[i] else ():
+            if keep[j] and near(i, j):
+                if size[i] < size[j]:
+                    keep[i] = False
+                    break
+                keep[j] = False
+    return [i for i, k in enumerate(keep) if k]
+
+
+@pytest.mark.parametrize("small", [10**9, 0])
+def test_dedup_embedding_by_the_rule(spark, small):
+    """In one task a component, and by rounds; the second and third rows are near the first's neighbour only."""
     import numpy as np
 
+    at = lambda d: [math.cos(d), math.sin(d)]
+    for lengths, want in (((3, 3, 5), [3]), ((3, 6, 5), [2])):
+        v = spark.createDataFrame([(i + 1, "x" * n, at(d)) for i, (n, d) in enumerate(zip(lengths, (0.0, 1.0, 0.5)))], "ord int, content string, embedding array<double>")
+        assert sorted(r["ord"] for r in dx.dedup_embedding(v, 0.7, small=small).collect()) == want
     g = np.random.default_rng(1)
     base = g.standard_normal((8, 6))
-    data = [(i, "x" * int(g.integers(1, 30)), (base[i % 8] + g.standard_normal(6) * 0.35).tolist()) for i in range(120)]
-    kept = []
-    unit = lambda v: np.array(v) / np.linalg.norm(v)
-    for o, t, v in data:
-        hit = next((k for k, (_, _, w) in enumerate(kept) if unit(v) @ unit(w) >= 0.95), None)
-        if hit is None:
-            kept.append((o, t, v))
-        elif len(t) > len(kept[hit][1]):
-            kept[hit] = (o, t, v)
-    got = dx.dedup_embedding(spark.createDataFrame(data, "ord int, content string, embedding array<double>"))
-    assert sorted(r["ord"] for r in got.collect()) == sorted(k[0] for k in kept)
+    vec = np.stack([base[i % 8] + g.standard_normal(6) * 0.35 for i in range(120)])
+    vec[60:70] = vec[50]  # copies
+    size = g.integers(1, 30, 120).tolist()
+    unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+    docs = spark.createDataFrame([(i, "x" * size[i], vec[i].tolist()) for i in range(120)] + [(200, None, None)], "ord int, content string, embedding array<double>")
+    got = sorted(r["ord"] for r in dx.dedup_embedding(docs, small=small).collect())
+    assert got == survivors(size, lambda i, j: unit[i] @ unit[j] >= 0.95) + [200]
+    assert dx.dedup_embedding(docs.where("false"), small=small).count() == 0
+
+
+def test_deduplicate_modes(spark):
+    d = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha  beta gamma"), (3, "x" * 2000 + "1"), (4, "x" * 2000 + "22"), (5, None)], "ord int, content string")
+    got = lambda mode: sorted(r["ord"] for r in dx.deduplicate(d, mode, HashingEmbedding(64)).collect())
+    assert got("hash") == [1, 3, 4, 5]
+    # only the first 2,000 characters are embedded: rows 3 and 4 are alike, the longer stays
+    assert got("both") == [1, 4, 5] and got("embedding") == [2, 4, 5]
+    with pytest.raises(ValueError):
+        dx.deduplicate(d, "both")
+    with pytest.raises(ValueError):
+        dx.deduplicate(d, "fuzzy")
 
 
 def test_dedup_embedding_long_chain(spark):
@@ -103,15 +132,8 @@ def test_dedup_embedding_long_chain(spark):
     g = np.random.default_rng(5)
     place, size = g.permutation(n), g.integers(1, 30, n)  # place[o]: where on the chain the row is
     data = [(o, "x" * int(size[o]), [float(np.cos(place[o] * 0.012)), float(np.sin(place[o] * 0.012))]) for o in range(n)]
-    kept: list[int] = []
-    for o in range(n):
-        hit = next((i for i, k in enumerate(kept) if abs(place[o] - place[k]) <= 1), None)
-        if hit is None:
-            kept.append(o)
-        elif size[o] > size[kept[hit]]:
-            kept[hit] = o
     docs = spark.createDataFrame(data, "ord int, content string, embedding array<double>")
-    assert sorted(r["ord"] for r in dx.dedup_embedding(docs, 0.9999).collect()) == sorted(kept)
+    assert sorted(r["ord"] for r in dx.dedup_embedding(docs, 0.9999).collect()) == survivors(size.tolist(), lambda i, j: abs(place[i] - place[j]) <= 1)
     at = np.argsort(place).tolist()
     chain = spark.createDataFrame(list(zip(at, at[1:])), "a int, b int")
     assert sorted(map(tuple, dx._components(chain).collect())) == [(o, 0) for o in range(n)]
@@ -237,11 +259,53 @@ def test_bm25(spark):
     idf = math.log((4 - 2 + 0.5) / 2.5 + 1)
     assert math.isclose(got.where("query_id = 4 and chunk_id = '2'").first()["score"], 2 * idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 4 / avg)))
     zh = spark.createDataFrame([("1", "TypeScript是一种编程语言"), ("2", "Python也很流行"), ("3", "今天天气很好")], "id string, content string")
-    z = search.KeywordIndex.build(zh, tx.words_cjk).search(spark.createDataFrame([(1, "编程语言")], "query_id int, query string"))
+    z = search.KeywordIndex.build(zh).search(spark.createDataFrame([(1, "编程语言")], "query_id int, query string"))
     assert z.orderBy("rank").first()["chunk_id"] == "1"
     assert search.KeywordIndex.build(d.where("false")).search(q).count() == 0
 
 
+def test_bm25_stored_and_arms(spark, tmp_path):
+    """A stored index, read by terms, and several arms in one pass give what plain searches give."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(40)] + ["编程", "语言学"]
+    data = [(i, " ".join(r.choices(words, range(42, 0, -1), k=r.randint(0, 30)))) for i in range(200)] + [(200, None)]
+    d, q = spark.createDataFrame(data, "id int, content string"), spark.createDataFrame([(1, "w1 w2 w2"), (2, "w30 语言"), (3, None)], "query_id int, query string")
+    ix = search.KeywordIndex.build(d)
+    ix.save(str(tmp_path / "ix"))
+    kept = search.KeywordIndex.load(spark, str(tmp_path / "ix"))
+    plain = lambda x: sorted(rows(x, "query_id", "rank", "chunk_id", "score"))
+    want = {b: plain(ix.search(q, 4, b=b, digits=6)) for b in (0.75, 0.0)}
+    assert len(want[0.75]) == 8 and plain(kept.search(q, 4, digits=6)) == want[0.75]
+    arms = kept.search_arms(q, (0.75, 0.0), 4, digits=6)
+    assert [plain(arms.where(F.col("arm") == i)) for i in (0, 1)] == [want[0.75], want[0.0]]
+
+
+def test_vector_search_odd_vectors(spark, monkeypatch):
+    """NaN, null and zero vectors are at 0, other lengths are not compared, ties go to the smaller id; any number of blocks."""
+    r = random.Random(9)
+    v = lambda n=4: [r.choice([-1.0, 0.0, 1.0]) for _ in range(n)]
+    data = [(i, v()) for i in range(300)] + [(300, [float("nan"), 1.0, 0.0, 0.0]), (301, [None, 1.0, 0.0, 0.0]), (302, [0.0] * 4), (303, [1.0, 2.0]), (304, None), (305, [])]
+    data += [(i, data[0][1]) for i in range(400, 420)]
+    c = spark.createDataFrame(data, "id int, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(1, data[0][1]), (2, v()), (3, [float("nan")] * 4), (4, [3.0, 1.0]), (5, None), (6, [0.0] * 4)], "query_id int, embedding array<double>")
+
+    def cosine(a, b):
+        if any(x is None or x != x for x in (*a, *b)):
+            return 0.0
+        n = math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b)) / n if n else 0.0
+
+    want = []
+    for i, a in q.collect():
+        s = sorted((-round(cosine(a, b), 6), j) for j, b in data if a is not None and b is not None and len(a) == len(b))
+        want += [(i, n, j, -x) for n, (x, j) in enumerate([x for x in s if -x[0] >= 0][:7], 1)]
+    got = lambda: sorted(rows(search.vector_search(q, c, 7, digits=6), "query_id", "rank", "chunk_id", "score"))
+    assert got() == sorted(want)
+    monkeypatch.setattr(search, "QUERY_BYTES", 80)
+    assert got() == sorted(want)
+    assert search.vector_search(q.where("false"), c).count() == 0 and search.vector_search(q, c.where("false")).count() == 0
+
+
 def hits(spark, *r):
     return spark.createDataFrame([(1, *x) for x in r], "query_id int, chunk_id string, score double, rank int")
 

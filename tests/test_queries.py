@@ -45,12 +45,6 @@ def test_query(spark, con, name):
     spark.catalog.clearCache()
 
 
-def test_arrow_search_agrees(spark):
-    a = QUERIES["vector_search_topk"](spark, SF).select("query_id", "rank", "score").toPandas().sort_values(["query_id", "rank"])
-    b = QUERIES["vector_search_arrow"](spark, SF).select("query_id", "rank", "score").toPandas().sort_values(["query_id", "rank"])
-    assert (a["score"].to_numpy() - b["score"].to_numpy()).__abs__().max() < 1e-6
-
-
 def test_entry_and_import_without_llm(spark, tmp_path):
     import shutil
     import subprocess
