@@ -285,7 +285,7 @@ def _components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
 Pieces = list[tuple[str, dict]]
 
 
-def _row_chunks(docs: DataFrame, cut: Callable[[str], list[tuple]], id_col: str, content: str, extra: str = "") -> DataFrame:
+def _row_chunks(docs: DataFrame, pieces: Callable[[str], list[tuple]], id_col: str, content: str, extra: str = "") -> DataFrame:
     """Apply a per-text cutter: rows (chunk_id, document_id, content, chunk_index, extras), in one narrow stage."""
     names = [x.split()[0] for x in extra.split(", ") if x]
 
@@ -293,7 +293,7 @@ def _row_chunks(docs: DataFrame, cut: Callable[[str], list[tuple]], id_col: str,
         for pdf in batches:
             out = []
             for i, t in zip(pdf["id"], pdf["content"]):
-                out += [(f"{i}_chunk_{n}", i, p[0], n, *p[1:]) for n, p in enumerate(cut(t or ""))]
+                out += [(f"{i}_chunk_{n}", i, p[0], n, *p[1:]) for n, p in enumerate(pieces(t or ""))]
             yield pd.DataFrame(out, columns=["chunk_id", "document_id", "content", "chunk_index", *names])
 
     d = docs.select(F.col(id_col).cast("string").alias("id"), F.col(content).alias("content"))
@@ -309,7 +309,7 @@ def _check(size: int, overlap: int) -> None:
         raise ValueError(f"overlap ({overlap}) must be less than chunk_size ({size})")
 
 
-def fixed_sizecut(t: str, size: int, overlap: int, separator: str, strict: bool = False) -> list[tuple[str]]:
+def fixed_size_cut(t: str, size: int, overlap: int, separator: str, strict: bool = False) -> list[tuple[str]]:
     """Windows that end at the last separator, else the last blank, in their second half.
 
     The next window starts the trimmed piece's length less `overlap` on, and a piece no longer than
@@ -341,14 +341,14 @@ def fixed_sizecut(t: str, size: int, overlap: int, separator: str, strict: bool
 
 def chunk_fixed_size(docs: DataFrame, chunk_size: int = 500, overlap: int = 50, separator: str = "\n", strict: bool = False, id_col: str = "id", content: str = "content") -> DataFrame:
     _check(chunk_size, overlap)
-    return _row_chunks(docs, lambda t: fixed_sizecut(t, chunk_size, overlap, separator, strict), id_col, content)
+    return _row_chunks(docs, lambda t: fixed_size_cut(t, chunk_size, overlap, separator, strict), id_col, content)
 
 
 #: From paragraphs down to single characters.
 SEPARATORS = ("\n\n", "\n", "。", ".", "！", "!", "？", "?", "；", ";", " ", "")
 
 
-def recursivecut(t: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[tuple[str]]:
+def recursive_cut(t: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[tuple[str]]:
     """Merge pieces up to `size` at each separator; a longer piece is cut at the next one. Then
     each chunk is led by the last `overlap` characters of the one before, as it then reads."""
     if not t.strip():
@@ -390,7 +390,7 @@ def recursivecut(t: str, size: int, overlap: int, separators: tuple[str, ...] =
 
 def chunk_recursive(docs: DataFrame, chunk_size: int = 500, overlap: int = 50, separators: tuple[str, ...] = SEPARATORS, id_col: str = "id", content: str = "content") -> DataFrame:
     _check(chunk_size, overlap)
-    return _row_chunks(docs, lambda t: recursivecut(t, chunk_size, overlap, separators), id_col, content)
+    return _row_chunks(docs, lambda t: recursive_cut(t, chunk_size, overlap, separators), id_col, content)
 
 
 def pack_sentences(parts: list[str], longest: int) -> list[list[str]]:
@@ -416,7 +416,7 @@ def _slices(t: str, n: int) -> list[str]:
     return [t[i : i + n] for i in range(0, len(t), n)]
 
 
-def sentencecut(t: str, longest: int) -> list[tuple[str]]:
+def sentence_cut(t: str, longest: int) -> list[tuple[str]]:
     parts = _sentences(t)
     if len(parts) == 1 and len(parts[0].strip()) > longest:
         return [(x,) for x in _slices(parts[0].strip(), longest)]
@@ -425,17 +425,17 @@ def sentencecut(t: str, longest: int) -> list[tuple[str]]:
 
 def chunk_sentences(docs: DataFrame, max_chunk_size: int = 1000, id_col: str = "id", content: str = "content") -> DataFrame:
     """Sentences packed up to a size: the semantic chunker without embeddings."""
-    return _row_chunks(docs, lambda t: sentencecut(t, max_chunk_size), id_col, content)
+    return _row_chunks(docs, lambda t: sentence_cut(t, max_chunk_size), id_col, content)
 
 
-def semanticcut(t: str, embed: Callable[[list[str]], list], threshold: float, shortest: int, longest: int) -> list[tuple[str]]:
+def semantic_cut(t: str, embed: Callable[[list[str]], list], threshold: float, shortest: int, longest: int) -> list[tuple[str]]:
     """Break where neighbouring sentences' embeddings have a cosine under `threshold`; short groups
     join the one before, long ones are packed anew."""
     import numpy as np
 
     parts = _sentences(t)
     if len(parts) < 2:
-        return sentencecut(t, longest)
+        return sentence_cut(t, longest)
     x = np.asarray(embed(parts), float)
     n = np.sqrt((x * x).sum(axis=1))
     d = n[1:] * n[:-1]
@@ -458,10 +458,10 @@ def semanticcut(t: str, embed: Callable[[list[str]], list], threshold: float, sh
 
 
 def chunk_semantic(docs: DataFrame, embedding, threshold: float = 0.5, min_chunk_size: int = 50, max_chunk_size: int = 1000, id_col: str = "id", content: str = "content") -> DataFrame:
-    return _row_chunks(docs, lambda t: semanticcut(t, embedding.embed_batch, threshold, min_chunk_size, max_chunk_size), id_col, content)
+    return _row_chunks(docs, lambda t: semantic_cut(t, embedding.embed_batch, threshold, min_chunk_size, max_chunk_size), id_col, content)
 
 
-def markdowncut(t: str, size: int, max_level: int, include_headings: bool) -> list[tuple[str, str, int]]:
+def markdown_cut(t: str, size: int, max_level: int, include_headings: bool) -> list[tuple[str, str, int]]:
     """Blocks under headings up to `max_level`; long ones are packed by paragraphs, each under its heading.
 
     A heading with no line before the next one is lost, fenced code is not told apart and
@@ -502,7 +502,7 @@ def markdowncut(t: str, size: int, max_level: int, include_headings: bool) -> li
 
 
 def chunk_markdown(docs: DataFrame, chunk_size: int = 500, max_heading_level: int = 2, include_headings: bool = True, id_col: str = "id", content: str = "content") -> DataFrame:
-    return _row_chunks(docs, lambda t: markdowncut(t, chunk_size, max_heading_level, include_headings), id_col, content, "heading string, heading_level int")
+    return _row_chunks(docs, lambda t: markdown_cut(t, chunk_size, max_heading_level, include_headings), id_col, content, "heading string, heading_level int")
 
 
 def chunk_with_headers(chunks: DataFrame, docs: DataFrame, llm, template: str = "[摘要: {summary}]", id_col: str = "id", content: str = "content") -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -203,6 +204,44 @@ def faithfulness(answer: Column, context: Column, claims: Column | None = None)
     )
 
 
+_CLAIMS = T.StructType().add("claims", T.ArrayType(T.StringType()))
+_VERDICTS = T.StructType().add("verdicts", T.ArrayType(T.StructType().add("claim", "string").add("supported", "boolean").add("reason", "string")))
+
+
+def faithfulness_by_model(samples: DataFrame, llm, answer: str = "answer", context: str = "context") -> DataFrame:
+    """samples plus faithfulness, total_claims, supported_claims and unsupported_claims.
+
+    A model lists an answer's claims and then judges them all against the context; the score is the supported
+    ones over all claims. Where the list cannot be read, claims are the sentences; where the
+    verdicts cannot, a claim counts as in `faithfulness`. No context: 0; no claims: 1.
+    """
+    a, c = F.coalesce(F.col(answer), F.lit("")), F.coalesce(F.col(context), F.lit(""))
+    has = F.length(c) > 0
+    d = samples.withColumn("_c", F.from_json(json_body(chat_column(llm, F.when(has, F.concat(F.lit("请从以下回答中提取所有原子事实声明，以 JSON 返回 claims：\n\n"), a)))), _CLAIMS)["claims"])
+    listed = F.filter("_c", lambda x: F.length(tx.trim(x)) > 0)
+    plain = F.filter(F.transform(F.split(a, "[。.!！?？]+"), tx.trim), lambda x: F.length(x) > 0)
+    d = d.withColumn("_c", F.when(F.col("_c").isNotNull() & ~F.exists("_c", F.isnull), listed).otherwise(plain))
+    numbered = F.array_join(F.transform("_c", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
+    ask = F.concat(F.lit("请逐条判断每个声明是否被上下文支持，以 JSON 返回 verdicts（claim、supported、reason）。\n上下文：\n"), c, F.lit("\n\n待验证的声明：\n"), numbered)
+    d = d.withColumn("_v", F.from_json(json_body(chat_column(llm, F.when(has & (F.size("_c") > 0), ask))), _VERDICTS)["verdicts"])
+    whole = F.col("_v").isNotNull() & ~F.exists("_v", lambda v: v.isNull() | v["claim"].isNull() | v["supported"].isNull() | v["reason"].isNull())
+
+    def carried(low: Column):
+        words = lambda x: F.filter(F.split(F.lower(x), f"{tx.SPACE}+"), lambda w: F.length(w) > 0)
+        half = lambda ws: F.size(F.filter(ws, lambda w: F.contains(low, w))) * 2 >= F.size(ws)
+        return lambda x: F.struct(x.alias("claim"), tx.let(words(x), half).alias("supported"))
+
+    own = F.transform("_v", lambda v: F.struct(v["claim"].alias("claim"), v["supported"].alias("supported")))
+    d = d.withColumn("_v", F.when(whole, own).otherwise(tx.let(F.lower(c), lambda low: F.transform("_c", carried(low)))))
+    n, yes = F.size("_c"), F.size(F.filter("_v", lambda v: v["supported"]))
+    none = F.array().cast("array<string>")
+    judged_ = has & (n > 0)
+    d = d.withColumn("faithfulness", F.when(~has, 0.0).when(n == 0, 1.0).otherwise(yes / n))
+    d = d.withColumn("total_claims", F.when(judged_, n).otherwise(0)).withColumn("supported_claims", F.when(judged_, yes).otherwise(0))
+    d = d.withColumn("unsupported_claims", F.when(judged_, F.transform(F.filter("_v", lambda v: ~v["supported"]), lambda v: v["claim"])).otherwise(none))
+    return d.drop("_c", "_v")
+
+
 _QUESTIONS = T.StructType().add("questions", T.ArrayType(T.StringType()))
 
 
@@ -253,7 +292,18 @@ def long_form(wide: DataFrame, names: list[str], suffix: str = "") -> DataFrame:
 
 
 #: Lower ends of the verdict bands, fixed values.
-VERDICTS = ((0.9, "优秀"), (0.75, "良好"), (0.6, "一般"), (float("-inf"), "较差"))
+VERDICTS = ((0.9, "优秀"), (0.75, "良好"), (0.6, "及格"), (float("-inf"), "需改进"))
+#: Advice: report, metric, mean below which it is given, text. Fixed values.
+ADVICE = (
+    ("retrieval", "recall", 0.7, "Recall@K 低于 0.7，建议：优化嵌入模型、调整切块策略（增大 chunkSize 或尝试语义切块）、增加查询变换"),
+    ("retrieval", "precision", 0.6, "Precision@K 低于 0.6，建议：改进嵌入模型质量、添加重排序后处理器、调整检索阈值"),
+    ("retrieval", "ndcg", 0.7, "NDCG@K 低于 0.7，建议：优化检索排序策略、引入 Reranker 后处理器"),
+    ("generation", "faithfulness", 0.8, 'Faithfulness 低于 0.8，存在幻觉风险，建议：在 prompt 中加强"仅基于提供的上下文回答"约束、使用 GroundingGenerator'),
+    ("generation", "answer_relevance", 0.7, "AnswerRelevance 低于 0.7，回答偏离问题，建议：优化 prompt 模板、检查检索上下文的相关性"),
+    ("generation", "bleu", 0.3, "BLEU 低于 0.3，回答与参考差异较大，建议：检查 prompt 设计、增加 few-shot 示例"),
+)
+#: What is said where no advice is due, fixed value.
+NO_ADVICE = "各项指标表现良好，暂无改进建议"
 
 
 def verdict(score: Column) -> Column:
@@ -263,16 +313,40 @@ def verdict(score: Column) -> Column:
     return out
 
 
-def evaluation_report(stats: DataFrame, judge_scores: DataFrame | None = None, weak: float = 0.6) -> DataFrame:
-    """One row: overall (mean of metric means, a judge's mean over ten among them), verdict, samples, weakest
-    metrics below `weak` with a recommendation each."""
-    means = stats.select("name", "mean", "samples")
+def evaluation_report(retrieval: DataFrame | None = None, generation: DataFrame | None = None, judge_scores: DataFrame | None = None, ab: DataFrame | None = None) -> DataFrame:
+    """One row: overall, verdict, samples, judge_scores (mean a dimension), recommendations, ab (the row of `ab_test`).
+
+    `retrieval` and `generation` are statistics as of `metric_stats` (names may end in @k), `judge_scores`
+    rows of `judge`. overall is the mean of all metrics' means and of a tenth of the judge's mean;
+    0 without any. samples adds up those of the parts. Statistics are a row a metric, so this is small work.
+    """
+    given = [x for x in (retrieval, generation, judge_scores, ab) if x is not None]
+    if not given:
+        raise ValueError("a report needs at least one part")
+    spark = given[0].sparkSession
+    means = None
+    for part, stats in (("retrieval", retrieval), ("generation", generation)):
+        if stats is not None:
+            m = stats.select(F.lit(part).alias("part"), F.lower(F.regexp_replace("name", "@.*", "")).alias("name"), F.col("mean").cast("double").alias("mean"), F.col("samples").cast("long").alias("samples"))
+            means = m if means is None else means.unionByName(m)
     if judge_scores is not None:
-        j = judge_scores.agg(F.lit("judge").alias("name"), (F.avg("overall") / 10).alias("mean"), F.count(F.lit(1)).alias("samples"))
-        means = means.unionByName(j)
-    low = F.filter(F.array_sort(F.collect_list(F.struct("mean", "name"))), lambda x: x["mean"] < weak)
-    r = means.agg(F.avg("mean").alias("overall"), F.max("samples").alias("samples"), low.alias("weak"))
-    return r.select("overall", verdict(F.col("overall")).alias("verdict"), "samples", F.col("weak.name").alias("weak_metrics"), F.transform("weak", lambda x: F.concat(F.lit("改进 "), x["name"])).alias("recommendations"))
+        m = judge_scores.agg((F.avg("overall") / 10).alias("mean"), F.count(F.lit(1)).alias("samples")).where("samples > 0")
+        m = m.select(F.lit("judge").alias("part"), F.lit("judge").alias("name"), "mean", "samples")
+        means = m if means is None else means.unionByName(m)
+    if means is None:
+        means = spark.createDataFrame([], "part string, name string, mean double, samples long")
+    rules = spark.createDataFrame([(i, *x) for i, x in enumerate(ADVICE)], "i int, part string, name string, least double, advice string")
+    due = means.join(F.broadcast(rules), ["part", "name"]).where("mean < least").groupBy("i").agg(F.first("advice").alias("advice"))
+    due = due.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "advice"))), lambda x: x["advice"]).alias("recommendations"))
+    samples = means.groupBy("part").agg(F.max("samples").alias("samples")).agg(F.coalesce(F.sum("samples"), F.lit(0)).alias("samples"))
+    r = means.agg(F.coalesce(F.avg("mean"), F.lit(0.0)).alias("overall")).crossJoin(samples).crossJoin(due)
+    if judge_scores is not None:
+        d = judge_scores.select(F.explode("scores").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("v"))
+        r = r.crossJoin(d.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("judge_scores")))
+    if ab is not None:
+        r = r.crossJoin(ab.select(F.struct("*").alias("ab")))
+    advice = F.when(F.size("recommendations") > 0, F.col("recommendations")).otherwise(F.array(F.lit(NO_ADVICE)))
+    return r.withColumn("verdict", verdict(F.col("overall"))).withColumn("recommendations", advice)
 
 
 def satisfaction(thumbs_up: Column, follow_up: Column, source_click: Column, dwell: Column) -> Column:
@@ -324,3 +398,15 @@ def run_benchmark(samples: DataFrame, retrieve, truth: DataFrame, ks: tuple[int,
         s = long_form(m, ["recall", "precision", "reciprocal_rank", "ndcg"], f"@{k}")
         out = s if out is None else out.unionByName(s)
     return out, metric_stats(out)
+
+
+def run_generation_benchmark(samples: DataFrame, evaluators: dict[str, Callable[[Column, Column, Column], Column]], sample_id: str = "query_id") -> tuple[DataFrame, DataFrame]:
+    """(per-sample scores in long form, their statistics) of answers against references.
+
+    samples: (id, answer, reference[, contexts]); contexts, an array, reach an evaluator as one text.
+    `evaluators`: name -> function of the columns answer, reference and context that gives a score.
+    """
+    context = F.array_join("contexts", "\n---\n") if "contexts" in samples.columns else F.lit(None).cast("string")
+    wide = samples.select(F.col(sample_id).alias("query_id"), *[f(F.col("answer"), F.col("reference"), context).cast("double").alias(n) for n, f in evaluators.items()])
+    out = long_form(wide, list(evaluators))
+    return out, metric_stats(out)

@@ -41,7 +41,7 @@ TEMPLATES = {
     ),
 }
 #: Answer where nothing was found, fixed value.
-NO_SOURCES = "抱歉，没有找到相关的参考资料来回答您的问题。"
+NO_SOURCES = "抱歉，无法找到与您问题相关的信息。"
 
 
 def build_context(results: DataFrame, max_length: int | None = None, content: str = "content") -> DataFrame:
@@ -178,9 +178,26 @@ def majority(answers: DataFrame, answer: str = "answer", order: str = "round") -
     return d.select("query_id", "answer", "votes", "rounds", (F.col("votes") / F.col("rounds")).alias("score"))
 
 
-def consistent(queries: DataFrame, results: DataFrame, llm, rounds: int = 3, text: str = "query") -> DataFrame:
-    """Several answers a question and their majority."""
+_CONSISTENCY = T.StructType().add("consistencyScore", "double").add("bestAnswer", "string").add("conflicts", T.ArrayType(T.StringType()))
+
+
+def consistent(queries: DataFrame, results: DataFrame, llm, rounds: int = 3, text: str = "query", judge=None) -> DataFrame:
+    """Several answers a question: (query_id, answer, votes, rounds, score, answers, conflicts).
+
+    Answer and score are the majority's; a model as `judge` compares the answers instead and also names
+    conflicts. Where its verdict cannot be read, or its score is not in 0..1, the majority stands.
+    """
     base = prompts(queries, results, "default", None, text)
     d = base.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
     ask = F.concat(F.element_at("messages", 2)["content"], F.lit("\n（第 "), F.col("round").cast("string"), F.lit(" 次）"))
-    return majority(d.withColumn("answer", tx.trim(chat_column(llm, ask))).where("answer is not null"))
+    d = d.withColumn("answer", tx.trim(chat_column(llm, ask))).where("answer is not null").select("query_id", F.col(text).alias("_q"), "round", "answer")
+    each = d.groupBy("query_id").agg(F.first("_q").alias("_q"), F.transform(F.array_sort(F.collect_list(F.struct("round", "answer"))), lambda x: x["answer"]).alias("answers"))
+    out = majority(d).join(each, "query_id").withColumn("conflicts", F.array().cast("array<string>"))
+    if judge is not None:
+        listed = F.array_join(F.transform("answers", lambda x, i: F.concat(F.lit("答案 "), (i + 1).cast("string"), F.lit(":\n"), x)), "\n\n")
+        ask = F.concat(F.lit("请对比以下针对同一问题多次生成的答案，以 JSON 返回 consistencyScore、bestAnswer、conflicts。\n问题："), F.col("_q"), F.lit("\n\n"), listed)
+        out = out.withColumn("_j", F.from_json(json_body(chat_column(judge, ask)), _CONSISTENCY))
+        ok = F.col("_j.consistencyScore").between(0, 1) & F.col("_j.bestAnswer").isNotNull() & F.col("_j.conflicts").isNotNull()
+        for c, j in (("answer", "bestAnswer"), ("score", "consistencyScore"), ("conflicts", "conflicts")):
+            out = out.withColumn(c, F.when(ok, F.col(f"_j.{j}")).otherwise(F.col(c)))
+    return out.select("query_id", "answer", "votes", "rounds", "score", "answers", "conflicts")

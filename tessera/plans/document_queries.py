@@ -17,7 +17,7 @@ from ..sources import loaders
 from ..sources.store import TableStore
 from ..streaming import streams
 from . import pipeline as pl
-from .retrieval_queries import DIGITS, ab_events, questions, read
+from .retrieval_queries import DIGITS, ab_events, bm25_sql, questions, read
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -154,7 +154,28 @@ def _chunk_rows(c: DataFrame) -> DataFrame:
     return c.select("chunk_id", "document_id", "chunk_index", "content")
 
 
-@query()
+def _last(window: str, sep: str) -> str:
+    """Place, from 0, of the last `sep` in a window; -1 without one."""
+    return f"CASE WHEN contains({window}, {sep}) THEN length({window}) - strpos(reverse({window}), {sep}) ELSE -1 END"
+
+
+_FIXED = f"""WITH RECURSIVE d AS (SELECT doc_id, text FROM documents WHERE length({_trim('text')}) > 0),
+    w AS (
+        SELECT doc_id, text, 0 AS n, 0 AS pos, substr(text, 1, 500) AS win, {_trim('text')} AS piece, length(text) <= 500 AS over FROM d WHERE length(text) <= 500
+        UNION ALL
+        SELECT doc_id, text, n, pos, win, CASE WHEN last THEN {_trim('win')} ELSE {_trim('substr(win, 1, ' + 'e)')} END, last FROM (
+            SELECT doc_id, text, 0 AS n, 0 AS pos, substr(text, 1, 500) AS win, false AS last,
+                   CASE WHEN {_last('substr(text, 1, 500)', 'chr(10)')} > 250 THEN {_last('substr(text, 1, 500)', 'chr(10)')} WHEN {_last('substr(text, 1, 500)', "' '")} > 250 THEN {_last('substr(text, 1, 500)', "' '")} ELSE 500 END AS e
+            FROM d WHERE length(text) > 500)
+        UNION ALL
+        SELECT doc_id, text, n, pos, win, CASE WHEN last THEN {_trim('win')} ELSE {_trim('substr(win, 1, ' + 'e)')} END, last FROM (
+            SELECT *, CASE WHEN {_last('win', 'chr(10)')} > 250 THEN {_last('win', 'chr(10)')} WHEN {_last('win', "' '")} > 250 THEN {_last('win', "' '")} ELSE length(win) END AS e FROM (
+                SELECT doc_id, text, n + (length(piece) > 0)::INTEGER AS n, pos + length(piece) - 50 AS pos, substr(text, pos + length(piece) - 50 + 1, 500) AS win, pos + length(piece) - 50 + 500 >= length(text) AS last
+                FROM w WHERE NOT over AND length(piece) > 50 AND pos + length(piece) - 50 < length(text)))
+    )"""
+
+
+@query(_FIXED + " SELECT doc_id || '_chunk_' || n AS chunk_id, doc_id::VARCHAR AS document_id, n::INTEGER AS chunk_index, piece AS content FROM w WHERE length(piece) > 0")
 def chunk_fixed_size(spark, sf_dir):
     return _chunk_rows(dx.chunk_fixed_size(docs_of(spark, sf_dir)))
 
@@ -164,7 +185,29 @@ def chunk_recursive(spark, sf_dir):
     return _chunk_rows(dx.chunk_recursive(docs_of(spark, sf_dir)))
 
 
-@query()
+#: Sentences of each document with the group each is packed into, longest groups of 1,000 characters.
+_PACKED = (
+    r"""WITH RECURSIVE s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([。！？.!?\n])\s*', '\1' || chr(1), 'g'), chr(1)), lambda x: length("""
+    + _trim("x")
+    + r""") > 0) AS s FROM documents),
+    g AS (
+        SELECT doc_id, s, 1 AS i, 0 AS n, length(s[1]) AS held FROM s WHERE len(s) > 0
+        UNION ALL
+        SELECT doc_id, s, i + 1, CASE WHEN held + length(s[i + 1]) > 1000 THEN n + 1 ELSE n END, CASE WHEN held + length(s[i + 1]) > 1000 THEN length(s[i + 1]) ELSE held + length(s[i + 1]) END FROM g WHERE i < len(s)
+    ),
+    one AS (SELECT doc_id, """
+    + _trim("s[1]")
+    + """ AS t FROM s WHERE len(s) = 1),
+    p AS (
+        SELECT doc_id, n, """
+    + _trim("string_agg(s[i], ' ' ORDER BY i)")
+    + """ AS content FROM g WHERE doc_id NOT IN (SELECT doc_id FROM one WHERE length(t) > 1000) GROUP BY doc_id, n
+        UNION ALL SELECT doc_id, k, substr(t, 1000 * k + 1, 1000) FROM one, unnest(range(0, 1000)) u(k) WHERE length(t) > 1000 AND 1000 * k < length(t)
+    )"""
+)
+
+
+@query(_PACKED + " SELECT doc_id || '_chunk_' || n AS chunk_id, doc_id::VARCHAR AS document_id, n::INTEGER AS chunk_index, content FROM p")
 def chunk_sentence_pack(spark, sf_dir):
     return _chunk_rows(dx.chunk_sentences(docs_of(spark, sf_dir)))
 
@@ -179,7 +222,12 @@ def chunk_markdown(spark, sf_dir):
     return dx.chunk_markdown(docs_of(spark, sf_dir)).select("chunk_id", "document_id", "chunk_index", "content", "heading", "heading_level")
 
 
-@query()
+@query(
+    _PACKED
+    + " SELECT doc_id || '_chunk_' || n AS chunk_id, doc_id::VARCHAR AS document_id, n::INTEGER AS chunk_index, '[摘要: ' || "
+    + _trim("substr(content || chr(10) || chr(10) || '请用一句话说明片段内容。', 1, 40)")
+    + " || ']' || chr(10) || content AS content FROM p"
+)
 def chunk_contextual_header(spark, sf_dir):
     d = docs_of(spark, sf_dir)
     llm = ScriptedLLM([("", lambda p: p.split("片段：\n", 1)[1][:40])])
@@ -312,7 +360,14 @@ def eval_rouge2(spark, sf_dir):
     return _score(spark, sf_dir, lambda a, r: ev.rouge_n(a, r, 2)["f1"])
 
 
-@query()
+#: A row of the table of common subsequences for each token of the answer, from the row before.
+_LCS = """k2 AS (SELECT conv_id, turn, len(ta) AS a, len(tr) AS r, CASE WHEN len(ta) = 0 OR len(tr) = 0 THEN 0 ELSE list_last(list_reduce(
+        list_transform(ta, lambda x: list_transform(tr, lambda y: (x = y)::INTEGER)),
+        lambda row, m: list_transform(range(1, len(m) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: CASE WHEN m[i] = 1 THEN 1 + CASE WHEN i = 1 THEN 0 ELSE row[i - 1] END ELSE row[i] END)))::INTEGER[],
+        list_transform(tr, lambda y: 0))) END AS h FROM k)"""
+
+
+@query(_K + _LCS + f" SELECT conv_id, turn, {_F1} AS score FROM k2")
 def eval_rouge_l(spark, sf_dir):
     return _score(spark, sf_dir, lambda a, r: ev.rouge_l(a, r)["f1"])
 
@@ -403,7 +458,13 @@ def normalize_roles(spark, sf_dir):
     return merge_roles(read(spark, sf_dir, "conversations"))
 
 
-@query()
+@query(
+    "WITH "
+    + bm25_sql(3)
+    + """, c AS (SELECT query_id, string_agg('[' || rank || '] ' || d.text, chr(10) || chr(10) ORDER BY rank) AS c FROM hits JOIN documents d ON d.doc_id = chunk_id GROUP BY query_id)
+    SELECT item_id AS query_id, 'answer' AS answer, CASE WHEN length('资料是否支持回答？yes / no' || chr(10) || coalesce(c, '') || chr(10) || CASE WHEN c IS NULL THEN '__none__' ELSE 'answer' END) % 2 = 1 THEN 1 ELSE 2 END AS rounds
+    FROM benchmark LEFT JOIN c ON c.query_id = item_id"""
+)
 def self_rag_rounds(spark, sf_dir):
     """Passages as questions; support is denied once for those of odd length."""
     from ..operators import search
@@ -412,7 +473,7 @@ def self_rag_rounds(spark, sf_dir):
     index = search.KeywordIndex.build(d)
 
     def retrieve(q):
-        return index.search(q, 3).join(d.select(F.col("id").alias("chunk_id"), "content"), "chunk_id")
+        return index.search(q, 3, digits=DIGITS).join(d.select(F.col("id").alias("chunk_id"), "content"), "chunk_id")
 
     llm = ScriptedLLM([("是否需要检索", "yes"), ("资料是否相关", "yes"), ("资料是否支持回答", lambda p: "yes" if len(p) % 2 else "no"), ("", "answer")])
     return gen.self_rag(questions(spark, sf_dir), retrieve, llm, 2).select("query_id", "answer", "rounds")
@@ -553,7 +614,11 @@ def graph_enhanced_merge(spark, sf_dir):
     return top_k(out, 5).select("query_id", "chunk_id", "score", "rank")
 
 
-@query()
+@query(
+    r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x != '')[1:2] AS w FROM documents),
+    m AS (SELECT doc_id, i, CASE WHEN len(w) = 0 THEN 'x' ELSE w[i] END AS name FROM w, unnest(range(1, 3)) t(i) WHERE i <= greatest(len(w), 1))
+    SELECT 'entity_' || lower(name) AS id, arg_min(name, doc_id * 10 + i) AS name, '概念' AS type FROM m GROUP BY lower(name)"""
+)
 def graph_extract(spark, sf_dir):
     """Entities of documents by a provider that names the source and language."""
     import json
@@ -629,7 +694,10 @@ def _drain(stream: DataFrame, mode: str, spark: SparkSession) -> DataFrame:
     return spark.read.parquet(f"{path}/out")
 
 
-@query()
+@query(
+    """SELECT CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END AS "group", round(avg(least(greatest(0.4 * (event_type = 'purchase')::INTEGER - 0.3 * (event_type = 'error')::INTEGER
+        + 0.15 * (event_type = 'click')::INTEGER + 0.15 * coalesce(value > 30, false)::INTEGER, 0), 1)::DOUBLE), 6) AS mean FROM events GROUP BY ALL"""
+)
 def ab_test_groups(spark, sf_dir):
     """Mean satisfaction a group, the input of `ab_test`."""
     return ab_events(read(spark, sf_dir, "events")).groupBy("group").agg(F.round(F.avg("satisfaction"), DIGITS).alias("mean"))

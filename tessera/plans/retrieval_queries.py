@@ -154,13 +154,14 @@ def store_delete_by_document(spark, sf_dir):
 def _snapshots(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
     text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
-    current = d.where("doc_id % 11 != 0").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    state = d.where("doc_id % 5 != 0").select(F.col("doc_id").alias("document_id"), tx.content_hash(text).alias("hash"))
-    return current, state
+    current = d.select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    # the state before has every document: some with another text, some under a number that is gone
+    old = F.when(F.col("doc_id") % 3 == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id"))
+    return current, d.select(old.alias("document_id"), tx.content_hash(text).alias("hash"))
 
 
-_SYNC = r"""WITH now AS (SELECT doc_id, sha256(trim(regexp_replace(text, '[ \t\n\r\f\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', ' ', 'g'))) AS hash FROM documents WHERE doc_id % 11 != 0),
-    old AS (SELECT doc_id, sha256(trim(regexp_replace(CASE WHEN doc_id % 7 = 0 THEN text || ' edited' ELSE text END, '[ \t\n\r\f\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', ' ', 'g'))) AS hash FROM documents WHERE doc_id % 5 != 0),
+_SYNC = r"""WITH now AS (SELECT doc_id, sha256(trim(regexp_replace(text, '[ \t\n\r\f\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', ' ', 'g'))) AS hash FROM documents),
+    old AS (SELECT CASE WHEN doc_id % 3 = 0 THEN -1 - doc_id ELSE doc_id END AS doc_id, sha256(trim(regexp_replace(CASE WHEN doc_id % 7 = 0 THEN text || ' edited' ELSE text END, '[ \t\n\r\f\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', ' ', 'g'))) AS hash FROM documents),
     c AS (SELECT coalesce(now.doc_id, old.doc_id) AS document_id, now.hash,
         CASE WHEN old.doc_id IS NULL THEN 'added' WHEN now.doc_id IS NULL THEN 'deleted' WHEN now.hash = old.hash THEN 'unchanged' ELSE 'updated' END AS status
         FROM now FULL JOIN old USING (doc_id))"""
@@ -422,14 +423,20 @@ def benchmark_stats(spark, sf_dir):
     return _stats(spark, sf_dir).select("name", *[F.round(c, DIGITS).alias(c) for c in ("mean", "std", "min", "max")], "samples")
 
 
+def _advice_sql(names: tuple[str, ...]) -> str:
+    rules = [(least, text) for part, name, least, text in ev.ADVICE if part == "retrieval" and name in names]
+    cases = ", ".join(f"CASE WHEN (SELECT mean FROM st WHERE name = '{n}@10') < {least} THEN '{text}' END" for n, (least, text) in zip(names, rules))
+    return f"coalesce(nullif(array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), '|'), ''), '{ev.NO_ADVICE}')"
+
+
 @query(
     _STATS
-    + """ SELECT round(avg(mean), 6) AS overall, CASE WHEN avg(mean) >= 0.9 THEN '优秀' WHEN avg(mean) >= 0.75 THEN '良好' WHEN avg(mean) >= 0.6 THEN '一般' ELSE '较差' END AS verdict,
-    max(samples) AS samples, string_agg(name, ',' ORDER BY mean, name) FILTER (mean < 0.6) AS weak FROM st"""
+    + f""" SELECT round(avg(mean), 6) AS overall, CASE WHEN avg(mean) >= 0.9 THEN '优秀' WHEN avg(mean) >= 0.75 THEN '良好' WHEN avg(mean) >= 0.6 THEN '及格' ELSE '需改进' END AS verdict,
+    max(samples)::BIGINT AS samples, {_advice_sql(('recall', 'precision'))} AS recommendations FROM st"""
 )
 def eval_report(spark, sf_dir):
     r = ev.evaluation_report(_stats(spark, sf_dir))
-    return r.select(F.round("overall", DIGITS).alias("overall"), "verdict", "samples", F.array_join("weak_metrics", ",").alias("weak"))
+    return r.select(F.round("overall", DIGITS).alias("overall"), "verdict", "samples", F.array_join("recommendations", "|").alias("recommendations"))
 
 
 @query(

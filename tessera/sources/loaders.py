@@ -230,13 +230,25 @@ def html_title(c: Column) -> Column:
 
 
 def load_web(spark: SparkSession, urls: list[str], selector: str = "body", include_image_alt: bool = False, timeout: float = 30.0) -> DataFrame:
-    """Pages fetched by the executors, a row a URL; `extract_html` takes stored pages instead."""
+    """Pages fetched by the executors, a row a URL; `extract_html` takes stored pages instead.
 
-    @F.pandas_udf("string")
-    def fetch(u: pd.Series) -> pd.Series:
+    A page that cannot be had is a row with `error` set and null title and content; the others are not touched by it.
+    """
+
+    @F.pandas_udf("html string, error string")
+    def fetch(u: pd.Series) -> pd.DataFrame:
         import urllib.request
 
-        return u.map(lambda x: urllib.request.urlopen(x, timeout=timeout).read().decode("utf-8", "replace"))
+        def one(x: str) -> tuple[str | None, str | None]:
+            try:
+                return urllib.request.urlopen(x, timeout=timeout).read().decode("utf-8", "replace"), None
+            except (OSError, ValueError) as e:
+                return None, f"{type(e).__name__}: {e}"
+
+        return pd.DataFrame([one(x) for x in u], columns=["html", "error"])
 
-    d = spark.createDataFrame([(u,) for u in urls], "source string").withColumn("html", fetch("source"))
-    return _finish(extract_html(d, selector, include_image_alt).drop("html"), "web")
+    d = spark.createDataFrame([(u,) for u in urls], "source string").withColumn("_f", fetch("source")).select("source", "_f.*")
+    d = extract_html(d, selector, include_image_alt).drop("html")
+    for c in ("title", "content"):
+        d = d.withColumn(c, F.when(F.col("error").isNull(), F.col(c)))
+    return _finish(d, "web")

@@ -403,6 +403,50 @@ def test_answers(spark):
     assert gen.consistent(q, r, ScriptedLLM([("", "same")])).where("votes = 3").count() == 2
 
 
+def test_consistency_by_model(spark):
+    q = spark.createDataFrame([(1, "good"), (2, "bad")], "query_id int, query string")
+    r = hits(spark, ("a", 0.9, 1)).withColumn("content", F.lit("text"))
+    llm = ScriptedLLM([("第 1 次", "one"), ("", "two")])
+    judge = ScriptedLLM([("问题：good.*答案 1:\none", '{"consistencyScore": 0.4, "bestAnswer": "one", "conflicts": ["x"]}'), ("", '{"consistencyScore": 1.4, "bestAnswer": "one", "conflicts": []}')])
+    got = {x["query_id"]: x for x in gen.consistent(q, r, llm, judge=judge).collect()}
+    assert (got[1]["answer"], got[1]["score"], got[1]["conflicts"], got[1]["answers"]) == ("one", 0.4, ["x"], ["one", "two", "two"])
+    assert (got[2]["answer"], got[2]["score"], got[2]["conflicts"]) == ("two", pytest.approx(2 / 3), [])
+
+
+def test_faithfulness_by_model(spark):
+    d = spark.createDataFrame(
+        [(1, "a b. c", "ctx a b"), (2, "q y. a", "ctx a"), (3, "any", ""), (4, "none", "ctx"), (5, "odd one. ctx two", "the ctx two"), (6, None, None)], "query_id int, answer string, context string"
+    )
+    llm = ScriptedLLM(
+        [
+            ("提取.*a b. c", '{"claims": ["first", "second", " "]}'),
+            ("提取.*none", '{"claims": []}'),
+            ("提取.*odd one", "no json"),
+            ("待验证.*1. first", '{"verdicts": [{"claim": "first", "supported": true, "reason": "r"}, {"claim": "second", "supported": false, "reason": "r"}]}'),
+            ("待验证.*1. odd one", '{"verdicts": [{"claim": "odd one", "supported": true}]}'),
+        ]
+    )
+    got = {r["query_id"]: (r["faithfulness"], r["total_claims"], r["supported_claims"], r["unsupported_claims"]) for r in ev.faithfulness_by_model(d, llm).collect()}
+    assert got[1] == (0.5, 2, 1, ["second"]) and got[2] == (0.5, 2, 1, ["q y"])
+    assert got[3] == got[6] == (0.0, 0, 0, []) and got[4] == (1.0, 0, 0, [])
+    # verdicts that lack a reason are not taken
+    assert got[5] == (0.5, 2, 1, ["odd one"])
+
+
+def test_generation_benchmark(spark):
+    d = spark.createDataFrame([(1, "the cat", "the cat", ["the cat sat"]), (2, "a dog", "the cat", None)], "query_id int, answer string, reference string, contexts array<string>")
+    scores, stats = ev.run_generation_benchmark(d, {"rouge1": lambda a, r, c: ev.rouge_n(a, r)["f1"], "faithfulness": lambda a, r, c: ev.faithfulness(a, c)})
+    assert sorted(rows(scores, "query_id", "name", "score")) == [(1, "faithfulness", 1.0), (1, "rouge1", 1.0), (2, "faithfulness", 0.0), (2, "rouge1", 0.0)]
+    assert {r["name"]: r["mean"] for r in stats.collect()} == {"rouge1": 0.5, "faithfulness": 0.5}
+
+
+def test_load_web_keeps_going(spark, tmp_path):
+    (tmp_path / "p.html").write_text("<html><title>T</title><body>hello</body></html>")
+    got = {r["source"]: r for r in loaders.load_web(spark, [f"file://{tmp_path}/p.html", f"file://{tmp_path}/none.html", "nonsense"]).collect()}
+    ok, bad = got[f"file://{tmp_path}/p.html"], [r for s, r in got.items() if not s.endswith("p.html")]
+    assert (ok["title"], ok["content"], ok["error"]) == ("T", "hello", None) and all(r["error"] and r["content"] is None for r in bad)
+
+
 def test_self_rag(spark):
     q = spark.createDataFrame([(1, "a"), (2, "bb")], "query_id int, query string")
     src = spark.createDataFrame([("c", 1.0, 1, "text")], "chunk_id string, score double, rank int, content string")
@@ -483,7 +527,14 @@ def test_reports(spark):
     st = {r["name"]: r for r in ev.metric_stats(s).collect()}
     assert (st["recall"]["mean"], st["recall"]["std"], st["recall"]["samples"]) == (0.75, 0.25, 2)
     r = ev.evaluation_report(ev.metric_stats(s)).first()
-    assert r["overall"] == pytest.approx(0.475) and r["verdict"] == "较差" and r["weak_metrics"] == ["mrr"]
+    assert r["overall"] == pytest.approx(0.475) and r["verdict"] == "需改进" and r["samples"] == 2 and r["recommendations"] == [ev.NO_ADVICE]
+    low = spark.createDataFrame([("recall@10", 0.69, 4), ("precision@10", 0.6, 4), ("ndcg@10", 0.1, 4)], "name string, mean double, samples long")
+    gen_ = spark.createDataFrame([("faithfulness", 0.9, 7), ("bleu", 0.2, 7)], "name string, mean double, samples long")
+    scored = ev.judge(spark.createDataFrame([(1, "q", "a"), (2, "q", "b")], "query_id int, query string, answer string"), ScriptedLLM([("回答：a", '{"准确性": 9}')]))
+    full = ev.evaluation_report(low, gen_, scored, spark.createDataFrame([("A",)], "winner string")).first()
+    means = [0.69, 0.6, 0.1, 0.9, 0.2, (5.8 + 5.0) / 2 / 10]
+    assert full["overall"] == pytest.approx(sum(means) / 6) and full["samples"] == 4 + 7 + 2 and full["ab"]["winner"] == "A"
+    assert full["judge_scores"]["准确性"] == 7.0 and [x[:6] for x in full["recommendations"]] == ["Recall", "NDCG@K", "BLEU 低"]
     c = spark.createDataFrame([(1, 1, "red car", "a red car"), (1, 2, "red car", "blue sky"), (1, 3, "red car", "car red")], "query_id int, rank int, query string, content string")
     assert ev.context_relevance(c).first()["score"] == pytest.approx((1 + 2 / 3) / 2)
     j = '{"judgments": [{"index": 0, "relevant": false}, {"index": 1, "relevant": true}]}'
