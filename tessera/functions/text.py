@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 SPACE = r"[ \t\n\r\f\x0B   -     　﻿]"
 #: Characters that count as one token each: CJK ideographs, Hangul, kana.
 WIDE = "[一-鿿가-힯぀-ゟ゠-ヿ]"
+ASCII = "[a-z0-9一-鿿]+"
+METRIC = "[^a-zA-Z0-9一-鿿]+|[一-鿿]|[a-zA-Z0-9]+"
 WORD = r"[\p{L}\p{M}\p{N}_]+"
 #: Characters `strip_special` keeps, fixed values.
 KEPT = "一-龥a-zA-Z0-9 \\t\\n\\r\\f\\x0B.,;:!?\"'()\\[\\]{}。，；：！？“”‘’（）【】-"
@@ -106,12 +108,12 @@ def words_cjk(c: Column) -> Column:
 
 def ascii_tokens(c: Column) -> Column:
     """Lower-cased runs of a-z, 0-9 and Han characters."""
-    return F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9一-鿿]+)"), F.lit(1))
+    return F.regexp_extract_all(F.lower(c), F.lit(f"({ASCII})"), F.lit(1))
 
 
 def metric_tokens(c: Column) -> Column:
     """Tokens of BLEU and ROUGE: words, single Han characters, and runs of anything else but blanks."""
-    found = F.regexp_extract_all(F.lower(c), F.lit("([^a-zA-Z0-9一-鿿]+|[一-鿿]|[a-zA-Z0-9]+)"), F.lit(1))
+    found = F.regexp_extract_all(F.lower(c), F.lit(f"({METRIC})"), F.lit(1))
     return F.filter(found, lambda x: F.length(trim(x)) > 0)
 
 

@@ -7,6 +7,7 @@ without results or truth gets 0. Samples: (query_id, answer, reference).
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Callable
 
@@ -101,31 +102,46 @@ def context_relevance(contexts: DataFrame, llm=None, least: float = 0.1, query:
 # --- generation metrics on one row: answer against reference --------------------------------
 
 
-def _grams(tokens, n: int) -> Counter:
+# Texts go to Python as they are, once; tokens, n-grams and counts never travel.
+
+_METRIC = re.compile(tx.METRIC)
+_ASCII = re.compile(tx.ASCII)
+_BLANK = re.compile(f"{tx.SPACE}+")
+
+
+def _metric_tokens(text: str | None) -> list[str]:
+    """`tx.metric_tokens` of a lower-cased text."""
+    return [t for t in _METRIC.findall(text) if not _BLANK.fullmatch(t)] if text else []
+
+
+def _grams(tokens: list[str], n: int) -> Counter:
     return Counter(zip(*(tokens[i:] for i in range(n))))
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _clipped(a: pd.Series, b: pd.Series, top: pd.Series) -> pd.Series:
-    """Multiset overlap of the n-grams of two token lists, for n from 1 to `top`; linear in their length."""
+def _overlaps(a: pd.Series, b: pd.Series, top: pd.Series) -> pd.Series:
+    """Numbers of tokens of two texts, then the multiset overlap of their n-grams for n from 1 to `top`."""
 
     def one(x, y, n):
-        x, y = list(x) if x is not None else [], list(y) if y is not None else []
-        return [(_grams(x, k) & _grams(y, k)).total() for k in range(1, n + 1)]
+        x, y = _metric_tokens(x), _metric_tokens(y)
+        return [len(x), len(y), *((_grams(x, k) & _grams(y, k)).total() for k in range(1, n + 1))]
 
     return pd.Series([one(*r) for r in zip(a, b, top)])
 
 
 def bleu(answer: Column, reference: Column, max_n: int = 4) -> Column:
     """Geometric mean of clipped n-gram precisions with a brevity penalty; 0 if any precision is 0."""
-    a, r = tx.metric_tokens(answer), tx.metric_tokens(reference)
-    hits, c, m = _clipped(a, r, F.lit(max_n)), F.size(a), F.size(r)
-    precisions = [ratio(F.get(hits, F.lit(n)), F.greatest(c - n, F.lit(0))) for n in range(max_n)]
-    zero, logs = F.lit(False), F.lit(0.0)
-    for p in precisions:
-        zero, logs = zero | (p == 0), logs + F.ln(F.when(p > 0, p))
-    brevity = F.when(c > m, 1.0).otherwise(F.exp(1 - m / F.when(c > 0, c)))
-    return F.when((c == 0) | (m == 0) | zero, 0.0).otherwise(brevity * F.exp(logs / max_n))
+
+    def score(x: Column) -> Column:
+        c, m = F.get(x, F.lit(0)), F.get(x, F.lit(1))
+        precisions = [ratio(F.get(x, F.lit(2 + n)), F.greatest(c - n, F.lit(0))) for n in range(max_n)]
+        zero, logs = F.lit(False), F.lit(0.0)
+        for p in precisions:
+            zero, logs = zero | (p == 0), logs + F.ln(F.when(p > 0, p))
+        brevity = F.when(c > m, 1.0).otherwise(F.exp(1 - m / F.when(c > 0, c)))
+        return F.when((c == 0) | (m == 0) | zero, 0.0).otherwise(brevity * F.exp(logs / max_n))
+
+    return score(_overlaps(F.lower(answer), F.lower(reference), F.lit(max_n)))
 
 
 def _prf(hit: Column, answer: Column, reference: Column) -> Column:
@@ -135,16 +151,17 @@ def _prf(hit: Column, answer: Column, reference: Column) -> Column:
 
 def rouge_n(answer: Column, reference: Column, n: int = 1) -> Column:
     """Struct of precision, recall and f1 of clipped n-gram overlap."""
-    a, r = tx.metric_tokens(answer), tx.metric_tokens(reference)
-    count = lambda x: F.greatest(F.size(x) - (n - 1), F.lit(0))
-    return _prf(F.get(_clipped(a, r, F.lit(n)), F.lit(n - 1)), count(a), count(r))
+    x = _overlaps(F.lower(answer), F.lower(reference), F.lit(n))
+    count = lambda i: F.greatest(F.get(x, F.lit(i)) - (n - 1), F.lit(0))
+    return _prf(F.get(x, F.lit(n + 1)), count(0), count(1))
 
 
-@F.pandas_udf(T.IntegerType())
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-    def one(x, y) -> int:
-        if x is None or y is None:
-            return 0
+    """Numbers of tokens of two texts and the length of their longest common subsequence."""
+
+    def one(x, y) -> list[int]:
+        x, y = _metric_tokens(x), _metric_tokens(y)
         # bit-parallel: a word of the row is a bit, so a step is a few big-integer operations
         at: dict = {}
         for i, w in enumerate(x):
@@ -153,21 +170,21 @@ def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
         for w in y:
             u = v & at.get(w, 0)
             v = (v + u | v - u) & full
-        return len(x) - v.bit_count()
+        return [len(x), len(y), len(x) - v.bit_count()]
 
     return pd.Series([one(x, y) for x, y in zip(a, b)])
 
 
 def rouge_l(answer: Column, reference: Column) -> Column:
     """Struct of precision, recall and f1 of the longest common token subsequence."""
-    a, r = tx.metric_tokens(answer), tx.metric_tokens(reference)
-    return _prf(_lcs(a, r), F.size(a), F.size(r))
+    x = _lcs(F.lower(answer), F.lower(reference))
+    return _prf(F.get(x, F.lit(2)), F.get(x, F.lit(0)), F.get(x, F.lit(1)))
 
 
 @F.pandas_udf(T.DoubleType())
 def _count_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x, y) -> float:
-        x, y = Counter(x if x is not None else ()), Counter(y if y is not None else ())
+        x, y = (Counter(_ASCII.findall(t) if t else ()) for t in (x, y))
         if not x or not y:
             return 0.0
         norm = math.sqrt(sum(v * v for v in x.values())) * math.sqrt(sum(v * v for v in y.values()))
@@ -178,7 +195,7 @@ def _count_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def tf_cosine(a: Column, b: Column) -> Column:
     """Cosine of term counts; 0 if either has no terms."""
-    return _count_cosine(tx.ascii_tokens(a), tx.ascii_tokens(b))
+    return _count_cosine(F.lower(a), F.lower(b))
 
 
 def semantic_similarity(a: Column, b: Column) -> Column:
