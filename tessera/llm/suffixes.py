@@ -12,6 +12,9 @@ bytes is the anchor's context.
    np.lexsort of groups by eight-byte symbols in place of multikey quicksort to a shallow depth
    (one library call for all groups), then blind tries for groups that still agree. Neighbours' common prefixes give, for each string length right of the
    anchor, the classes of equal suffixes; with the bytes left of it, those of equal strings.
+   A gram with more than HOT distinct contexts is hot: its contexts are sent string by string,
+   each as a context of its own that is dealt by the string, and only the smallest document's
+   of each document group, so that no task gets them all.
 3. Each string whose class has a smaller document is removed.
 
 Texts are stored once, bucketed by a document group, and never shuffled again.
@@ -38,6 +41,8 @@ _SEGMENT = 1 << 16
 _CHUNK = 1 << 17
 #: Bytes of text whose anchors a task holds before it hands them on.
 _FLUSH = 1 << 25
+#: Distinct contexts from which a gram's strings are dealt one by one.
+HOT = 4_096
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
 _BASE = 0x5851F42D4C957F2D
@@ -279,8 +284,9 @@ def _by_group(docs: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]]
 _ANCHORS = "bucket int, docs binary, counts binary, grams binary, contexts binary"
 _ANSWERS = "db int, kind int, docs binary, counts binary, contexts binary, masks binary"
 _CONTEXTS = "bucket int, docs binary, hashes binary, place binary, runs binary, sizes binary, bytes binary"
-#: Kinds of answers: a run is repeated as a whole; its strings must be looked at; here are its strings.
-WHOLE, LOOK, STRINGS = 1, 2, 3
+#: Kinds of answers: a run is repeated as a whole; its strings must be looked at; here are its strings; they
+#: must be looked at one by one, since very many contexts share the gram.
+WHOLE, LOOK, STRINGS, LOOK_HOT = 1, 2, 3, 4
 
 
 def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
@@ -330,7 +336,7 @@ def _emit(buckets: int, groups: int, match: int, gram: int):
     return run
 
 
-def _settle(buckets: int, groups: int):
+def _settle(buckets: int, groups: int, hot: int):
     """Anchors of some buckets -> what is repeated as a whole and what must be looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,8 +357,8 @@ def _settle(buckets: int, groups: int):
             least = d[np.flatnonzero(new_c)][np.cumsum(new_c) - 1]
             kinds = np.add.reduceat(new_c.astype(np.int64), np.flatnonzero(new_g))[np.cumsum(new_g) - 1]
             whole = np.flatnonzero(d > least)
-            look = np.flatnonzero((d == least) & (kinds > 1) & new_c)
-            for kind, rows in ((WHOLE, whole), (LOOK, look)):
+            look = (d == least) & (kinds > 1) & new_c
+            for kind, rows in ((WHOLE, whole), (LOOK, np.flatnonzero(look & (kinds <= hot))), (LOOK_HOT, np.flatnonzero(look & (kinds > hot)))):
                 for db, r in _by_group(d[rows], groups):
                     at = rows[r]
                     out.append((db, kind, *_ragged(d[at]), c[at].astype("<u8").tobytes(), b""))
@@ -362,7 +368,7 @@ def _settle(buckets: int, groups: int):
 
 
 def _answers(table: pa.Table, *kinds: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By document: context hashes in order, kinds and masks."""
+    """By document: context hashes in order, kinds and masks; masks of one context are joined."""
     parts_ = []
     for kind, docs, counts, ctx, masks in zip(*(table[c].to_pylist() for c in ("kind", "docs", "counts", "contexts", "masks"))):
         if kind in kinds:
@@ -372,8 +378,10 @@ def _answers(table: pa.Table, *kinds: int) -> dict[int, tuple[np.ndarray, np.nda
     if not parts_:
         return {}
     d, c, k, m = (np.concatenate(x) for x in zip(*parts_))
-    o = np.lexsort((c, d))
+    o = np.lexsort((k, c, d))
     d, c, k, m = d[o], c[o], k[o], m[o]
+    head = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (c[1:] != c[:-1])])
+    d, c, k, m = d[head], c[head], k[head], np.bitwise_or.reduceat(m, head)
     cuts = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
     return {int(d[lo]): (c[lo:hi], k[lo:hi], m[lo:hi]) for lo, hi in zip(cuts, [*cuts[1:], len(d)])}
 
@@ -385,30 +393,45 @@ def _look_up(wanted: np.ndarray, have: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hit, at[hit]
 
 
-def _gather(buckets: int, match: int, gram: int):
-    """(texts, answers) of a document group -> contexts to look at, by gram bucket."""
+def _gather(buckets: int, groups: int, match: int, gram: int):
+    """(texts, answers) of a document group -> contexts to look at, by gram bucket; rows of
+    `_strings`' answers, with the group below 0 as bucket, for strings of hot grams that are settled here."""
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         rows: dict[int, list[tuple]] = {}
-        todo = _answers(answers, LOOK)
+        hot: dict[tuple[int, bytes], list[tuple[int, int]]] = {}  # (place, string) -> (document, context)
+        todo = _answers(answers, LOOK, LOOK_HOT)
         for i, t in zip(texts["doc_id"].to_pylist(), texts["bytes"]):
             if i not in todo:
                 continue
             text = t.as_py()
             a = Anchors([text], match, gram)
-            hit, _ = _look_up(todo[i][0], a.context)
+            hit, at = _look_up(todo[i][0], a.context)
             _, once = np.unique(a.context[hit], return_index=True)
-            for h in hit[once].tolist():
-                f, l = int(a.first[h]), int(a.last[h])
-                rows.setdefault(int(a.grams[h] % np.uint64(buckets)), []).append(
-                    (i, int(a.context[h]), int(a.at[h]) - f, l - f + 1, text[f : l + match])
-                )
-        out = []
+            for h, kind in zip(hit[once].tolist(), todo[i][1][at[once]].tolist()):
+                f, l, c, place = int(a.first[h]), int(a.last[h]), int(a.context[h]), int(a.at[h]) - int(a.first[h])
+                if kind == LOOK:
+                    rows.setdefault(int(a.grams[h] % np.uint64(buckets)), []).append((i, c, place, l - f + 1, text[f : l + match]))
+                else:
+                    for s in range(l - f + 1):
+                        hot.setdefault((place - s, text[f + s : f + s + match]), []).append((i, c))
+        out, known = [], {}
+        for (place, string), where in hot.items():
+            i, c = min(where)
+            bucket = int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little") % buckets
+            rows.setdefault(bucket, []).append((i, c, place, 1, string))
+            for j, c in where:
+                if j > i:
+                    known[j, c] = known.get((j, c), 0) | 1 << place
         for b, r in rows.items():
             i, c, p, n, s = zip(*r)
             out.append(
                 (b, np.array(i, "<i8").tobytes(), np.array(c, "<u8").tobytes(), np.array(p, "u1").tobytes(), np.array(n, "u1").tobytes(), np.array(list(map(len, s)), "u1").tobytes(), b"".join(s))
             )
+        if known:
+            db = next(iter(known))[0] % groups
+            j, c = zip(*known)
+            out.append((-1 - db, np.array(j, "<i8").tobytes(), np.array(c, "<u8").tobytes(), b"", b"", b"", np.array(list(known.values()), "<u8").tobytes()))
         return pa.Table.from_batches([_batch(_CONTEXTS, out)])
 
     return run
@@ -418,16 +441,18 @@ def _strings(groups: int, match: int, gram: int):
     """Contexts of some buckets -> masks of their repeated strings, by document group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, hashes, place, runs, bodies = [], [], [], [], []
+        docs, hashes, place, runs, bodies, out = [], [], [], [], [], []
         for b in batches:
-            for _, d, h, p, n, s, body in zip(*(b.column(i).to_pylist() for i in range(7))):
+            for bucket, d, h, p, n, s, body in zip(*(b.column(i).to_pylist() for i in range(7))):
+                if bucket < 0:
+                    out.append((-1 - bucket, STRINGS, d, np.ones(len(d) // 8, "<i4").tobytes(), h, body))
+                    continue
                 docs.append(np.frombuffer(d, "<i8"))
                 hashes.append(np.frombuffer(h, "<u8"))
                 place.append(np.frombuffer(p, "u1").astype(np.int64))
                 runs.append(np.frombuffer(n, "u1").astype(np.int64))
                 ends = np.cumsum(np.frombuffer(s, "u1").astype(np.int64)).tolist()
                 bodies += [body[x:y] for x, y in zip([0, *ends], ends)]
-        out = []
         if bodies:
             d, h, p, n = (np.concatenate(x) for x in (docs, hashes, place, runs))
             mask = repeated_strings(bodies, p, n, d, match, gram)
@@ -482,7 +507,7 @@ def _remove(match: int, gram: int):
 
 
 def remove_repeats(
-    docs: DataFrame, match: int = MATCH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, match: int = MATCH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans of every row of `docs`.
 
@@ -521,9 +546,9 @@ def remove_repeats(
         spark.conf.set(strict, before)
     stored = spark.table(name)
     anchors = stored.select("doc_id", "bytes").mapInArrow(_emit(p, groups, match, gram), _ANCHORS)
-    answers = materialize(anchors.repartition(p, "bucket").mapInArrow(_settle(p, groups), _ANSWERS), "answers", release=True)
-    looks = answers.where(F.col("kind") == LOOK)
-    contexts = stored.groupBy("db").cogroup(looks.groupBy("db")).applyInArrow(_gather(p, match, gram), _CONTEXTS)
+    answers = materialize(anchors.repartition(p, "bucket").mapInArrow(_settle(p, groups, hot), _ANSWERS), "answers", release=True)
+    looks = answers.where(F.col("kind").isin(LOOK, LOOK_HOT))
+    contexts = stored.groupBy("db").cogroup(looks.groupBy("db")).applyInArrow(_gather(p, groups, match, gram), _CONTEXTS)
     strings = contexts.repartition(p, "bucket").mapInArrow(_strings(groups, match, gram), _ANSWERS)
     strings = materialize(strings, "strings", release=True)
     final = answers.where(F.col("kind") == WHOLE).unionByName(strings)

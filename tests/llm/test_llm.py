@@ -559,6 +559,8 @@ def removed(rows, match):
 def test_repeats(spark, docs, rows, none):
     got = suffixes.remove_repeats(docs).collect()
     assert Counter(tuple(x)[:5] for x in got) == Counter(removed(rows, 50))
+    # every gram that two contexts share taken as hot
+    assert Counter(tuple(x)[:5] for x in suffixes.remove_repeats(docs, hot=1).collect()) == Counter(removed(rows, 50))
     assert any(x["n_spans"] for x in got if x["doc_id"] == 1004)
     assert suffixes.remove_repeats(none).count() == 0
 
@@ -570,6 +572,9 @@ def test_repeats_across_segments(spark, monkeypatch):
     rows = [(i, t) for i, t in enumerate(some)]
     got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), match=20, gram=8).collect()
     assert Counter(tuple(x)[:5] for x in got) == Counter(removed(rows, 20))
+    for hot in (1, 3):
+        got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), match=20, gram=8, hot=hot).collect()
+        assert Counter(tuple(x)[:5] for x in got) == Counter(removed(rows, 20))
     long_ = "".join(r.choice("abcdefgh ") for _ in range(3 * (1 << 16)))
     rows = [(1, long_), (2, "x" * 77 + long_[100:-100] + "y"), (3, long_[1 << 16 : (1 << 16) + 500])]
     x = {r["doc_id"]: r for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
