@@ -417,11 +417,12 @@ def _gather(buckets: int, groups: int, match: int, gram: int):
                         hot.setdefault((place - s, text[f + s : f + s + match]), []).append((i, c))
         out, known = [], {}
         for (place, string), where in hot.items():
-            i, c = min(where)
+            first = min(where)[0]
             bucket = int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little") % buckets
-            rows.setdefault(bucket, []).append((i, c, place, 1, string))
             for j, c in where:
-                if j > i:
+                if j == first:  # it may have the string in several contexts
+                    rows.setdefault(bucket, []).append((j, c, place, 1, string))
+                else:
                     known[j, c] = known.get((j, c), 0) | 1 << place
         for b, r in rows.items():
             i, c, p, n, s = zip(*r)

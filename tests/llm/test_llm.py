@@ -565,6 +565,19 @@ def test_repeats(spark, docs, rows, none):
     assert suffixes.remove_repeats(none).count() == 0
 
 
+def test_repeats_of_a_hot_gram(spark):
+    """One passage in many surroundings, several times in some documents."""
+    r = random.Random(11)
+    passage = sentence(r, 12)
+    around = lambda: sentence(r, 3)[:20]
+    some = ["".join(around() + passage[r.randint(0, 30) :] + around() for _ in range(r.choice([1, 1, 2, 4]))) for _ in range(150)]
+    rows = list(enumerate(some))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = Counter(removed(rows, 50))
+    for hot in (1, 20, 10**6):
+        assert Counter(tuple(x)[:5] for x in suffixes.remove_repeats(d, hot=hot).collect()) == want
+
+
 def test_repeats_across_segments(spark, monkeypatch):
     """Low-entropy texts, other lengths, and a text longer than a segment of the scan."""
     r = random.Random(9)
