@@ -31,8 +31,10 @@ CUTS = {
     ),
     "word_bpe_49k.json": (rf"{_CONTRACTIONS}|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+", True),
 }
-#: Pieces a worker remembers before it starts over.
-CACHE = 1_000_000
+#: Pieces a worker remembers (about 200 bytes each), and how many times as many it may then meet
+#: without finding them before it starts over.
+CACHE = 500_000
+PATIENCE = 4
 LONGEST = 64
 
 
@@ -56,6 +58,7 @@ class Encoder(dict):
         self.code = {2: "H", 4: "I"}.get(self.dtype.itemsize) if native else None
         pattern, self.lower = CUTS.get(os.path.basename(path), (None, False))
         self.cut = pattern and re.compile(pattern).findall
+        self.late = 0
         self.odd = re.compile(f"[^{_PLAIN}]").search
         # strings that the library takes as one id wherever they stand in a text
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
@@ -73,7 +76,12 @@ class Encoder(dict):
         got = dict(zip(new, (self._bytes(e.ids) for e in self.library.encode_batch_fast(new, add_special_tokens=False))))
         out = [got[p] if v is None else v for p, v in zip(pieces, found)]
         if len(self) + len(got) > CACHE:
+            # pieces met early are mostly the common ones
+            self.late += len(got)
+            if self.late <= PATIENCE * CACHE:
+                return out
             self.clear()
+            self.late = 0
         self.update((p, v) for p, v in got.items() if len(p) <= LONGEST)
         return out
 
