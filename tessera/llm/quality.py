@@ -10,9 +10,10 @@ used, and their log-odds combined.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,6 +34,8 @@ SHARE = 0.02
 #: Log-odds from which a view counts as confident (0.95).
 SURE = 3.0
 THRESHOLD = 0.5
+#: Labelled ids up to which they are sent to every task (8 bytes each).
+FEW_KNOWN = 1_000_000
 #: Characters of an n-gram, and the slots n-grams are hashed to.
 ORDERS = (1, 2, 3)
 SLOTS = 256
@@ -46,61 +49,59 @@ LAYOUT_FEATURES = 15
 _CHUNK = 1 << 20
 
 
-def text_features(text: str | None) -> np.ndarray:
+def repetition(text: str) -> tuple[int, list[float]]:
+    """Number of words, and how they repeat: share equal to the word before and its root, distinct share, and its logs' ratio."""
+    words = text.split()
+    k = len(words)
+    if not k:
+        return 0, [0.0] * 4
+    same, distinct = sum(map(str.__eq__, words, words[1:])), len(set(words))
+    return k, [same / k, (same / k) ** 0.5, distinct / k, math.log(distinct + 1) / math.log(k + 1.5)]
+
+
+def text_features(text: str | None, words: tuple[int, list[float]] | None = None) -> np.ndarray:
     """What a whole text says, in steps of 1/127: square roots of its n-grams' shares in each slot, and
     how its words repeat. Zeros for an empty one."""
     text, count, lap = text or "", np.zeros(SLOTS, np.int64), max(ORDERS) - 1
     for at in range(0, len(text), _CHUNK):
         c = np.frombuffer(text[at : at + _CHUNK + lap].encode("utf-32-le", "surrogatepass"), np.uint32)
         starts = min(_CHUNK, len(text) - at)
-        c = np.where(c <= 32, np.uint32(32), c) + np.uint32(1)
-        h = np.zeros(len(c), np.uint32)
-        with np.errstate(over="ignore"):
-            for n in range(1, max(ORDERS) + 1):
-                if len(c) < n:
-                    break
+        c = np.maximum(c, np.uint32(32))  # any control sign counts as a blank
+        h = c
+        for n in ORDERS:
+            if n > 1:
                 h = h[: len(c) - n + 1] * np.uint32(0x01000193) + c[n - 1 :]
-                x = (h[:starts] ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
-                x ^= x >> np.uint32(15)
-                x *= np.uint32(0xC2B2AE35)
-                count += np.bincount(x >> np.uint32(24), minlength=SLOTS)
-    words = text.split()
-    k = len(words)
-    same, distinct = sum(map(str.__eq__, words, words[1:])), len(set(words))
-    said = [same / k, np.sqrt(same / k), distinct / k, min(1.0, np.log(distinct + 1) / np.log(k + 1.5))] if k else [0.0] * 4
+            if not len(h):
+                break
+            count += np.bincount((h[:starts] * np.uint32(0x9E3779B1)) >> np.uint32(24), minlength=SLOTS)
+    said = np.minimum(1.0, (words or repetition(text))[1])
     return np.rint(127 * np.r_[np.sqrt(count / (count.sum() + len(ORDERS) * PAD_CHARS)), said]).astype(np.int8)
 
 
-def layout(text: str | None) -> np.ndarray:
-    """Shares and ratios of a whole text's lines and signs; an empty one gives zeros and a flag."""
+def layout(text: str | None, words: tuple[int, list[float]] | None = None) -> np.ndarray:
+    """Shares and ratios of a whole text's lines and signs; one without words gives zeros and a flag."""
     text = text or ""
-    words = text.split()
-    n, k = len(text), len(words)
+    k, repeats = words or repetition(text)
+    n = len(text)
     if not k:
         return np.r_[np.zeros(LAYOUT_FEATURES - 1), 1.0]
     lines = text.split("\n")
-    same = sum(map(str.__eq__, words, words[1:]))
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    byte = np.bincount(raw, minlength=128)
-    upper, lower, digit = byte[65:91].sum(), byte[97:123].sum(), byte[48:58].sum()
+    byte = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=128)
+    upper, lower, digit = int(byte[65:91].sum()), int(byte[97:123].sum()), int(byte[48:58].sum())
     symbols = len(_RUN.findall(text))
-    distinct = len(set(words))
     return np.array(
         [
             symbols / n,
-            np.sqrt(symbols / n),
-            text.count("|") / n,
-            same / k,
-            np.sqrt(same / k),
-            distinct / k,
-            np.log(distinct + 1) / np.log(k + 1.5),
+            (symbols / n) ** 0.5,
+            int(byte[124]) / n,
+            *repeats,
             upper / (upper + lower + 1),
             digit / n,
-            (len(_SHOUT.findall(text)) / k),
+            len(_SHOUT.findall(text)) / k if byte[33] or byte[63] else 0.0,
             len(set(lines)) / len(lines),
-            np.log1p(k) / 10,
+            math.log1p(k) / 10,
             min(n / k, 30) / 10,
-            (byte[46] + byte[44]) / k,
+            int(byte[46] + byte[44]) / k,
             0.0,
         ]
     )
@@ -109,17 +110,22 @@ def layout(text: str | None) -> np.ndarray:
 META_FEATURES = _META_SLOTS + 3 + LAYOUT_FEATURES
 
 
-def meta_features(text: str | None, lang: str | None, source: str | None, n_chars: int | None, slots: int = _META_SLOTS) -> np.ndarray:
+def meta_features(text: str | None, lang: str | None, source: str | None, n_chars: int | None, slots: int = _META_SLOTS, words: tuple[int, list[float]] | None = None) -> np.ndarray:
     """One slot each for the language and the source (hashed; null is a value), the stated length, and the layout."""
     out = np.zeros(slots + 3 + LAYOUT_FEATURES, np.float32)
     out[zlib.crc32(f"l:{lang}".encode()) % slots] += 1
     out[zlib.crc32(f"s:{source}".encode()) % slots] += 1
     size = np.log1p(max(0.0, float(n_chars or 0))) / 10
     out[slots : slots + 3] = size, size * size, float(n_chars is None)
-    out[slots + 3 :] = layout(text)
+    out[slots + 3 :] = layout(text, words)
     return out
 
 
+def both_views(text: str | None, lang: str | None, source: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
+    words = repetition(text or "")
+    return text_features(text, words), meta_features(text, lang, source, n_chars, words=words)
+
+
 @dataclass
 class View:
     """A standardised logistic model and its calibration."""
@@ -212,7 +218,7 @@ def co_train(
     return Quality(views["text"], views["meta"], base, history)
 
 
-def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+def _lists(rows: Sequence[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     """Rows of one width as a list column."""
     width = len(rows[0]) if len(rows) else 0
     return pa.ListArray.from_arrays(np.arange(0, len(rows) * width + 1, max(width, 1), dtype=np.int32)[: len(rows) + 1], pa.array(np.concatenate(rows), kind))
@@ -223,11 +229,7 @@ def _features(docs: DataFrame, extra: str = "") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
-            t, m = [], []
-            for text, *page in zip(b.column(1), *(b.column(i).to_pylist() for i in (2, 3, 4))):
-                text = text.as_py()
-                t.append(text_features(text))
-                m.append(meta_features(text, *page))
+            t, m = zip(*(both_views(text.as_py(), *page) for text, *page in zip(b.column(1), *(b.column(i).to_pylist() for i in (2, 3, 4)))))
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(t, pa.int8()), _lists(m, pa.float32()), *b.columns[5:]], ["doc_id", "t", "m", *b.schema.names[5:]])
 
     cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars")]
@@ -239,7 +241,9 @@ def _features(docs: DataFrame, extra: str = "") -> DataFrame:
 _FEATURES = "t array<tinyint>, m array<float>"
 
 
-def _matrix(column: pa.ListArray) -> np.ndarray:
+def _matrix(column: pa.ListArray | pa.ChunkedArray) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(float)
 
 
@@ -285,8 +289,8 @@ def _surest(free: DataFrame, k: int, views: dict[str, View], given: dict[str, se
     for v in views:
         for label in (0, 1):
             mine = sure.where((F.col("view") == v) & (F.col("label") == label)).groupBy("doc_id").agg(F.max(F.struct("side", "t", "m")).alias("x"))
-            rows = mine.select("doc_id", "x.*").orderBy(F.desc("side"), "doc_id").limit(k).collect()
-            out[v, label] = [(r["doc_id"], np.array(r["t"]), np.array(r["m"])) for r in rows]
+            rows = mine.select("doc_id", "x.*").orderBy(F.desc("side"), "doc_id").limit(k).toArrow()
+            out[v, label] = list(zip(rows["doc_id"].to_pylist(), _matrix(rows["t"]), _matrix(rows["m"]))) if len(rows) else []
     return out
 
 
@@ -303,13 +307,19 @@ def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_C
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     own = docs.select("doc_id", "text", "lang", "source", "n_chars")
     rows = _features(own.join(F.broadcast(sample.select("doc_id", F.col("y").cast("int").alias("y"))), "doc_id"), "y int")
-    rows = rows.groupBy("doc_id", "y").agg(F.min(F.struct("t", "m")).alias("x")).select("doc_id", "y", "x.*").collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
-    stack = lambda k, d: np.array([r[k] for r in rows], float) if rows else np.zeros((0, d))
-    y = np.array([r["y"] for r in rows], int)
+    rows = rows.groupBy("doc_id", "y").agg(F.min(F.struct("t", "m")).alias("x")).select("doc_id", "y", "x.*").toArrow()
+    ids = rows["doc_id"].to_pylist()
+    order = np.array(sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i])), int)
+    stack = lambda k, d: _matrix(rows[k])[order] if len(ids) else np.zeros((0, d))
+    y = rows["y"].to_numpy()[order].astype(int)
     surest = None
     if len(np.unique(y)) == 2 and rounds:
-        free = materialize(_features(own.where("doc_id is not null")).join(known, "doc_id", "left_anti"), "free")
+        pool = own.where("doc_id is not null")
+        if known.limit(FEW_KNOWN + 1).count() <= FEW_KNOWN:
+            free = _features(pool.join(F.broadcast(known), "doc_id", "left_anti"))
+        else:  # features are moved rather than texts
+            free = _features(pool).join(known, "doc_id", "left_anti")
+        free = materialize(free, "free")
         n = free.count()
         k = min(max(1, int(share * n)), max(1, per_class // rounds))
         surest = (lambda views, given: _surest(free, k, views, given)) if n else None
@@ -332,9 +342,12 @@ def score_quality(docs: DataFrame, model: Quality, threshold: float = THRESHOLD)
 
         if not len(text):
             return pd.Series([], dtype=float)
-        xt = np.stack([text_features(x) for x in text]).astype(float)
-        xm = np.stack([meta_features(t, a, b, None if c is None or c != c else int(c)) for t, a, b, c in zip(text, lang, source, n_chars)]).astype(float)
-        return pd.Series(shared.value.score(xt, xm))
+        out = []
+        for at in range(0, len(text), 1000):
+            rows = zip(*(c.iloc[at : at + 1000] for c in (text, lang, source, n_chars)))
+            t, m = zip(*(both_views(x, a, b, None if c is None or c != c else int(c)) for x, a, b, c in rows))
+            out.append(shared.value.score(np.stack(t).astype(float), np.stack(m).astype(float)))
+        return pd.Series(np.concatenate(out))
 
     d = docs.drop("quality_score", "quality_keep")
     return d.withColumn("quality_score", score(F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))).withColumn(
