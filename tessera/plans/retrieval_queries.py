@@ -503,7 +503,15 @@ def ab_events(events: DataFrame) -> DataFrame:
     return events.select(F.when(F.col("user_id") % 2 == 0, "A").otherwise("B").alias("group"), s.alias("satisfaction"))
 
 
-@query()
+_COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
+
+
+@query(
+    f"""WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, CASE WHEN length(a.vec_id::VARCHAR) >= length(b.vec_id::VARCHAR) THEN b.vec_id ELSE a.vec_id END AS loser
+        FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {_COS} >= 0.9),
+    g AS (SELECT list_reduce(list([a, b, loser] ORDER BY a, b), lambda gone, x: CASE WHEN list_contains(gone, x[1]) OR list_contains(gone, x[2]) THEN gone ELSE list_append(gone, x[3]) END, []::BIGINT[]) AS gone FROM p)
+    SELECT vec_id AS id, label FROM embeddings, g WHERE NOT list_contains(coalesce(gone, []::BIGINT[]), vec_id)"""
+)
 def dedup_embedding_vectors(spark, sf_dir):
     """Greedy near-dedup of the vectors of each label."""
     from ..operators.documents import dedup_embedding
