@@ -254,10 +254,29 @@ def repeated_strings(
     return mask
 
 
-def _prime(n: int) -> int:
-    while n < 3 or any(n % p == 0 for p in range(2, int(n**0.5) + 1)):
-        n += 1
-    return n
+def _murmur(x: np.ndarray) -> np.ndarray:
+    """Spark's hash of ints: Murmur3 (x86, 32 bits) of four bytes, seed 42."""
+    rotate = lambda h, r: (h << np.uint32(r)) | (h >> np.uint32(32 - r))
+    with np.errstate(over="ignore"):
+        k = rotate(x.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = rotate(k ^ np.uint32(42), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(4)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        return (h ^ (h >> np.uint32(16))).astype(np.int32)
+
+
+def even_groups(p: int, each: int = 2) -> np.ndarray:
+    """Numbers for `each` * p document groups, of which every one of Spark's p hash buckets gets `each`."""
+    n = 32 * each * p
+    while True:
+        bucket = np.mod(_murmur(np.arange(n)), p)
+        order = np.argsort(bucket, kind="stable")
+        first = np.searchsorted(bucket[order], np.arange(p))
+        size = np.diff(np.r_[first, n])
+        if size.min() >= each:
+            return np.sort(np.concatenate([order[first + i] for i in range(each)]))
+        n *= 2
 
 
 def _ragged(docs: np.ndarray) -> tuple[bytes, bytes]:
@@ -272,9 +291,9 @@ def _flat(docs: bytes, counts: bytes) -> np.ndarray:
     return np.repeat(np.frombuffer(docs, "<i8"), np.frombuffer(counts, "<i4"))
 
 
-def _by_group(docs: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]]:
+def _by_group(docs: np.ndarray, groups: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(document group, its rows in the order of docs)."""
-    g = docs % groups
+    g = groups[docs % len(groups)]
     o = np.lexsort((docs, g))
     cuts = np.flatnonzero(np.r_[True, g[o][1:] != g[o][:-1]]) if len(o) else []
     for lo, hi in zip(cuts, [*cuts[1:], len(o)]):
@@ -296,7 +315,7 @@ def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(cols, fields)], [f for f, _ in fields])
 
 
-def _emit(buckets: int, groups: int, match: int, gram: int):
+def _emit(buckets: int, groups: np.ndarray, match: int, gram: int):
     """Texts -> anchors by gram bucket (db rows of `_ANSWERS` for what the task settles itself)."""
 
     def flush(ids: list[int], texts: list[bytes]) -> Iterator[tuple]:
@@ -336,7 +355,7 @@ def _emit(buckets: int, groups: int, match: int, gram: int):
     return run
 
 
-def _settle(buckets: int, groups: int, hot: int):
+def _settle(buckets: int, groups: np.ndarray, hot: int):
     """Anchors of some buckets -> what is repeated as a whole and what must be looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,7 +412,7 @@ def _look_up(wanted: np.ndarray, have: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hit, at[hit]
 
 
-def _gather(buckets: int, groups: int, match: int, gram: int):
+def _gather(buckets: int, groups: np.ndarray, match: int, gram: int):
     """(texts, answers) of a document group -> contexts to look at, by gram bucket; rows of
     `_strings`' answers, with the group below 0 as bucket, for strings of hot grams that are settled here."""
 
@@ -430,7 +449,7 @@ def _gather(buckets: int, groups: int, match: int, gram: int):
                 (b, np.array(i, "<i8").tobytes(), np.array(c, "<u8").tobytes(), np.array(p, "u1").tobytes(), np.array(n, "u1").tobytes(), np.array(list(map(len, s)), "u1").tobytes(), b"".join(s))
             )
         if known:
-            db = next(iter(known))[0] % groups
+            db = int(groups[next(iter(known))[0] % len(groups)])
             j, c = zip(*known)
             out.append((-1 - db, np.array(j, "<i8").tobytes(), np.array(c, "<u8").tobytes(), b"", b"", b"", np.array(list(known.values()), "<u8").tobytes()))
         return pa.Table.from_batches([_batch(_CONTEXTS, out)])
@@ -438,7 +457,7 @@ def _gather(buckets: int, groups: int, match: int, gram: int):
     return run
 
 
-def _strings(groups: int, match: int, gram: int):
+def _strings(groups: np.ndarray, match: int, gram: int):
     """Contexts of some buckets -> masks of their repeated strings, by document group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -507,6 +526,11 @@ def _remove(match: int, gram: int):
     return run
 
 
+def _dealt(rows: DataFrame, p: int) -> DataFrame:
+    """A task a bucket. Hashing the p buckets to p tasks would leave a third of them idle and give some four."""
+    return rows.repartitionById(p, F.pmod("bucket", F.lit(p)).cast("int"))
+
+
 def remove_repeats(
     docs: DataFrame, match: int = MATCH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT
 ) -> DataFrame:
@@ -524,15 +548,15 @@ def remove_repeats(
         raise ValueError("a string's owner must be one of at most 64 grams")
     spark = docs.sparkSession
     p = parts(spark)
-    groups = _prime(8 * p)
+    groups = even_groups(p)
+    group_of = lambda c: F.element_at(F.expr(f"array({', '.join(map(str, groups))})"), (F.pmod(c, F.lit(len(groups))) + 1).cast("int"))
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("bytes"))
     d = d.withColumn("digest", F.sha2("bytes", 256))
     meta = materialize(d.select("doc_id", "digest", F.octet_length("bytes").cast("long").alias("n_bytes")), "digests")
     firsts = meta.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("n_bytes").alias("n"))
     firsts = materialize(firsts, "firsts")
-    db = F.pmod("doc_id", F.lit(groups)).cast("int")
-    own = firsts.where(F.col("n") >= match).select(F.pmod("first_id", F.lit(groups)).cast("int").alias("db"), F.col("first_id").alias("doc_id"), "digest")
-    texts = d.where(F.octet_length("bytes") >= match).select(db.alias("db"), "doc_id", "digest", "bytes")
+    own = firsts.where(F.col("n") >= match).select(group_of("first_id").alias("db"), F.col("first_id").alias("doc_id"), "digest")
+    texts = d.where(F.octet_length("bytes") >= match).select(group_of("doc_id").alias("db"), "doc_id", "digest", "bytes")
     name = f"tessera_texts_{uuid.uuid4().hex}"
     # both sides are dealt by db alone, which the join may use as it is: texts are shuffled once
     # (a semi-join would be pushed below the repartition and shuffle them again)
@@ -547,10 +571,10 @@ def remove_repeats(
         spark.conf.set(strict, before)
     stored = spark.table(name)
     anchors = stored.select("doc_id", "bytes").mapInArrow(_emit(p, groups, match, gram), _ANCHORS)
-    answers = materialize(anchors.repartition(p, "bucket").mapInArrow(_settle(p, groups, hot), _ANSWERS), "answers", release=True)
+    answers = materialize(_dealt(anchors, p).mapInArrow(_settle(p, groups, hot), _ANSWERS), "answers", release=True)
     looks = answers.where(F.col("kind").isin(LOOK, LOOK_HOT))
     contexts = stored.groupBy("db").cogroup(looks.groupBy("db")).applyInArrow(_gather(p, groups, match, gram), _CONTEXTS)
-    strings = contexts.repartition(p, "bucket").mapInArrow(_strings(groups, match, gram), _ANSWERS)
+    strings = _dealt(contexts, p).mapInArrow(_strings(groups, match, gram), _ANSWERS)
     strings = materialize(strings, "strings", release=True)
     final = answers.where(F.col("kind") == WHOLE).unionByName(strings)
     removed = stored.groupBy("db").cogroup(final.groupBy("db")).applyInArrow(_remove(match, gram), _RESULT)

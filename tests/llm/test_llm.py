@@ -565,6 +565,16 @@ def test_repeats(spark, docs, rows, none):
     assert suffixes.remove_repeats(none).count() == 0
 
 
+def test_even_groups(spark):
+    from pyspark.sql import functions as F
+
+    got = [r[0] for r in spark.range(500).select(F.hash(F.col("id").cast("int"))).collect()]
+    assert got == suffixes._murmur(np.arange(500)).tolist()
+    for p in (1, 7, 211):
+        g = suffixes.even_groups(p)
+        assert len(set(g.tolist())) == 2 * p and set(np.bincount(np.mod(suffixes._murmur(g), p), minlength=p)) == {2}
+
+
 def test_repeats_of_a_hot_gram(spark):
     """One passage in many surroundings, several times in some documents."""
     r = random.Random(11)
