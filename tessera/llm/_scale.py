@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 _OWN: dict[str, str] = {}
+#: Edges above which nothing made of them is broadcast; Spark only sees the size of their compressed files.
+FEW_EDGES = 200_000
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -116,6 +118,10 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     where component is the smallest node id reachable. Nodes that are the smallest of their
     component do not appear. Self-loops, nulls and repeated edges are ignored.
     """
+
+    def sized(df: DataFrame, n: int) -> DataFrame:
+        return df if n <= FEW_EDGES else df.hint("merge")
+
     e = materialize(
         edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct(),
         "edges",
@@ -126,10 +132,10 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     for _ in range(max_rounds):
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = both.join(low, both.a == low.k).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.join(sized(low, last[0]), both.a == low.k).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a > b").distinct()
         low2 = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
-        small = large.join(low2, large.a == low2.k)
+        small = large.join(sized(low2, last[0]), large.a == low2.k)
         e = materialize(
             small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
             .select("x.a", "x.b")
@@ -139,7 +145,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         )
         now = _fingerprint(e)
         if now == last:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            return sized(e.select(F.col("a").alias("node"), F.col("b").alias("component")), now[0])
         last = now
     raise RuntimeError("components did not settle")
 

@@ -68,7 +68,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def near_pairs(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Pairs (a, b) of ids of distinct fingerprints (id, fp) at most `max_bits` (0 to 3) bits apart.
 
-    A pair may come twice, once from each segment.
+    A pair may come twice, once from each segment. Neither side is broadcast: Spark takes an exploded table
+    to be as large as what it is made from, here about 34 times too small.
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("two segments and balls of radius one find up to three differing bits")
@@ -85,7 +86,7 @@ def near_pairs(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     probes = seg.select("id", "fp", "v", "s", F.explode(ball).alias("w")).select(
         address(F.col("w")).alias("k"), F.col("id").alias("a"), F.col("fp").alias("fa"), (F.col("w") == F.col("v")).alias("same")
     )
-    hit = probes.join(table, "k").where(
+    hit = probes.hint("merge").join(table.hint("merge"), "k").where(
         (~F.col("same") | (F.col("fa") < F.col("fb"))) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= max_bits)
     )
     return hit.select("a", "b")

@@ -18,7 +18,7 @@ from tessera.llm.exact import build_mph, exact_dedup, mph_slots
 from tessera.llm.mixing import MIX_SQL, mix_sources, mixed_documents
 from tessera.llm.quality import score_quality, train_quality
 from tessera.llm.sharding import shard_documents
-from tessera.llm.simhash import simhash_dedup
+from tessera.llm.simhash import near_pairs, simhash_dedup
 from tessera.llm.tokens import CUTS, Encoder, tokenizer_path
 from tessera.llm.toxicity import score_toxicity, train_toxicity
 
@@ -67,6 +67,23 @@ def text(x):
 # --- shared pieces ---------------------------------------------------------------------------------
 
 
+def test_nothing_exploded_or_large_is_broadcast(spark, monkeypatch):
+    # files of a few KB, which Spark would broadcast, and what is made of them too
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    r = random.Random(3)
+    prints = list({r.randrange(1 << 62) for _ in range(200)})
+    prints += [x ^ 5 for x in prints[:20]] + [x ^ (1 << 40) for x in prints[20:30]]
+    nodes = _scale.materialize(spark.createDataFrame(list(enumerate(prints)), "id long, fp long"), "nodes")
+    found = near_pairs(nodes)
+    assert "Broadcast" not in plan(found) and "SortMergeJoin" in plan(found)
+    assert {tuple(sorted(x)) for x in found.collect()} == {(i, j) for j, y in enumerate(prints) for i, x in enumerate(prints[:j]) if (x ^ y).bit_count() <= 2}
+    monkeypatch.setattr(_scale, "FEW_EDGES", 0)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    links = _scale.connected_components(chain, "a", "b")
+    assert dict(map(tuple, links.collect())) == {i: 0 for i in range(1, 41)}
+    assert "Broadcast" not in plan(nodes.join(links, nodes.id == links.node, "left"))
+
+
 def test_components_and_ranks(spark):
     r = random.Random(1)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)] + [(5, 5), (7, None)]
