@@ -24,7 +24,8 @@ def _without(rows: DataFrame, drops: DataFrame, on: list[str]) -> DataFrame:
     """Boxed rows less those whose `on` columns are in `drops`; texts move only if the drops are many."""
     drops = materialize(drops, "drops")
     few = drops.limit(FEW_DROPS + 1).count() <= FEW_DROPS
-    return unboxed(rows.join(F.broadcast(drops) if few else drops, on, "left_anti"))
+    # more are merged: Spark would go by the size of their compressed file and build up to millions on the driver
+    return unboxed(rows.join(F.broadcast(drops) if few else drops.hint("merge"), on, "left_anti"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,6 +64,18 @@ def text(x):
     return x[1] or ""
 
 
+def test_many_drops_are_not_broadcast(spark, monkeypatch):
+    import corpus_pipeline as cp
+
+    docs = _scale.materialize(spark.createDataFrame([(i, "x") for i in range(50)], "doc_id long, text string"), "docs")
+    drops = docs.where("doc_id % 3 = 0").select("doc_id")
+    for few in (cp.FEW_DROPS, 5):
+        monkeypatch.setattr(cp, "FEW_DROPS", few)
+        left = cp._without(_scale.boxed(docs, doc_id="doc_id"), drops, ["doc_id"])
+        assert ("Broadcast" in left._jdf.queryExecution().executedPlan().toString()) == (few > 5)
+        assert sorted(x["doc_id"] for x in left.collect()) == [i for i in range(50) if i % 3]
+
+
 # --- shared pieces ---------------------------------------------------------------------------------
 
 
