@@ -114,17 +114,31 @@ def neighbors(seeds: DataFrame, entities: DataFrame, relations: DataFrame, hops:
 def shortest_paths(pairs: DataFrame, entities: DataFrame, relations: DataFrame, max_hops: int = 6) -> DataFrame:
     """(source_id, target_id, path, hops) of a shortest undirected path for each pair that has one.
 
-    Walks from the sources; an entity keeps one path to each source (the smallest), so a hop
-    adds at most a row an entity and source. Relations to entities that do not exist are not walked.
+    Walks from the sources; an entity keeps one path to each source (the smallest). Relations to entities
+    that do not exist are not walked. Where a path can only end, at an entity with fewer than two neighbours, a walk goes
+    only if that is a goal of its own source: a hub's many such neighbours are looked up by goal and never listed by source.
+    So a hop adds at most a row for each source and entity with two neighbours, and for each pair; the last hop keeps goals alone.
     """
-    a = arcs(relations).select("here", "there").distinct().join(entities.select(F.col("id").alias("there")), "there", "left_semi")
-    goals = pairs.select("source_id", "target_id").distinct().join(entities.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+    known = entities.select(F.col("id").alias("there")).distinct()
+    a = arcs(relations).where("source != target").select("here", "there").distinct()
+    a = cut(a.join(known, "there", "left_semi").join(known.withColumnRenamed("there", "here"), "here", "left_semi").select("here", "there"))
+    through = a.groupBy("here").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("here").alias("there"))
+    inner = cut(a.join(through, "there", "left_semi").select("here", "there"))
+    goals = cut(pairs.select("source_id", "target_id").distinct().join(known.withColumnRenamed("there", "source_id"), "source_id", "left_semi"))
+    # goals with one neighbour, by that neighbour; the others are met on the way
+    ends = a.join(through, "there", "left_anti")
+    doors = cut(goals.join(ends, F.col("target_id") == F.col("there")).select("source_id", "here", "there"))
     front = goals.select("source_id").distinct().select("source_id", F.col("source_id").alias("id"), F.array("source_id").alias("path"))
     seen = front.select("source_id", "id", "path")
-    for _ in range(max_hops):
+    for h in range(1, max_hops + 1):
         # only sources with a goal not yet met go on
         open_ = goals.join(seen.select("source_id", F.col("id").alias("target_id")), ["source_id", "target_id"], "left_anti").select("source_id").distinct()
-        step = front.join(open_, "source_id", "left_semi").join(a, F.col("id") == F.col("here"))
+        going = front.join(open_, "source_id", "left_semi").withColumnRenamed("id", "here")
+        step = going.join(doors, ["source_id", "here"]).select("source_id", "there", "path")
+        walk = going.join(inner, "here").select("source_id", "there", "path")
+        if h == max_hops:
+            walk = walk.join(goals.withColumnRenamed("target_id", "there"), ["source_id", "there"], "left_semi")
+        step = step.unionByName(walk)
         step = step.groupBy("source_id", "there").agg(F.min("path").alias("path"))
         step = step.select("source_id", F.col("there").alias("id"), F.concat("path", F.array("there")).alias("path"))
         front = cut(step.join(seen.select("source_id", "id"), ["source_id", "id"], "left_anti"))

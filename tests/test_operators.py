@@ -667,3 +667,39 @@ def test_pipelines(spark):
     log.log("info", "no")
     log.log("error", "yes")
     assert lines == ["[error] yes"]
+
+
+def test_shortest_paths_pass_a_hub(spark, monkeypatch):
+    """60 sources and 400 leaves at each of three hubs in a ring; no hop lists leaves by source."""
+    r = random.Random(2)
+    hubs = ["h0", "h1", "h2"]
+    rel = [("h0", "h1"), ("h1", "h2"), ("h2", "m"), ("m", "h0"), ("h0", "h0"), ("h1", "gone")]
+    rel += [(f"s{i}", r.choice(hubs)) for i in range(60)] + [(f"t{i}", r.choice(hubs)) for i in range(1200)]
+    names = sorted({x for e in rel for x in e} - {"gone"}) + ["alone"]
+    pairs = [(f"s{i}", f"t{i}") for i in range(60)] + [("s1", "s2"), ("s1", "h2"), ("h0", "t5"), ("t5", "h0"), ("s3", "s3"), ("alone", "s1"), ("s1", "alone"), ("s1", "gone"), ("gone", "s1"), ("s4", "m")]
+    near = {n: sorted({y for e in rel for x, y in (e, e[::-1]) if x == n and y in names}) for n in names}
+
+    def best(s, t, most):
+        front, seen = [[s]] if s in near else [], {s}
+        for _ in range(most + 1):
+            for p in front:
+                if p[-1] == t:
+                    return p
+            new = {}
+            for p in sorted(front):
+                for y in near[p[-1]]:
+                    if y not in seen:
+                        new.setdefault(y, [*p, y])
+            seen |= set(new)
+            front = list(new.values())
+        return None
+
+    sizes, cut = [], gx.cut
+    monkeypatch.setattr(gx, "cut", lambda df: (sizes.append(df.count()), cut(df))[1])
+    ents = spark.createDataFrame([(n,) for n in names], "id string")
+    rels = spark.createDataFrame([(*e, "t", {}, i) for i, e in enumerate(rel)], "source string, target string, type string, metadata map<string,string>, ord long")
+    for most in (1, 3, 6):
+        sizes.clear()
+        got = {(x["source_id"], x["target_id"]): x["path"] for x in gx.shortest_paths(spark.createDataFrame(pairs, "source_id string, target_id string"), ents, rels, most).collect()}
+        assert got == {p: b for p in pairs if (b := best(*p, most))}
+        assert max(sizes) <= 2 * len(rel)
