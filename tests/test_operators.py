@@ -703,3 +703,13 @@ def test_shortest_paths_pass_a_hub(spark, monkeypatch):
         got = {(x["source_id"], x["target_id"]): x["path"] for x in gx.shortest_paths(spark.createDataFrame(pairs, "source_id string, target_id string"), ents, rels, most).collect()}
         assert got == {p: b for p in pairs if (b := best(*p, most))}
         assert max(sizes) <= 2 * len(rel)
+
+
+def test_first_chunks_are_made_once(spark):
+    from tessera.plans import document_queries as dq
+
+    p = pl.advanced_rag(ExtractiveLLM(), HashingEmbedding(64), dq._empty_store(spark), rewrite=False)
+    p.ingest(spark.createDataFrame([(1, "one two. three"), (2, None)], "id long, content string").withColumn("ord", F.col("id")))
+    plan = p.store.chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "Join" not in plan
+    assert {x["document_id"] for x in p.store.chunks.collect()} >= {"1"}
