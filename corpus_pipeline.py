@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._scale import boxed, materialize, text_or_empty, unboxed
+from tessera.llm._scale import TEXT_ROWS, boxed, materialize, text_or_empty, unboxed
 from tessera.llm.exact import exact_dedup
 from tessera.llm.mixing import mixed_documents
 from tessera.llm.packing import pack_pieces, token_pieces
@@ -36,7 +36,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     model = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rows = boxed(docs, text="text", lang="lang", source="source", n_chars="n_chars")
-    return unboxed(score_quality(rows, model).where("quality_keep"))
+    # written here, where the rows that a worker gets at once are set
+    return materialize(unboxed(score_quality(rows, model).where("quality_keep")), "kept", batch_rows=TEXT_ROWS)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +75,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A null or empty text is its end id alone; a document taken twice is packed twice. Other columns are ignored.
     """
-    pieces = materialize(token_pieces(docs, with_ids=False), "pieces")
+    pieces = materialize(token_pieces(docs, with_ids=False), "pieces", batch_rows=TEXT_ROWS)
     return pack_pieces(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 _OWN: dict[str, str] = {}
+#: Rows of whole texts that a Python worker gets at once. A batch lies in the executor's direct memory, in
+#: the worker, and while it grows once more; Spark's own 10,000 rows are over 40 MB of common documents.
+TEXT_ROWS = 1000
 #: Edges above which nothing made of them is broadcast; Spark only sees the size of their compressed files.
 FEW_EDGES = 200_000
 
@@ -42,14 +45,23 @@ def new_path(spark: SparkSession, label: str) -> str:
     return re.sub("^file:/+", "file:///", fs.makeQualified(where).toString())
 
 
-def materialize(df: DataFrame, label: str, release: bool = False) -> DataFrame:
+def materialize(df: DataFrame, label: str, release: bool = False, batch_rows: int | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends in replicated files.
 
-    `release` also lets Spark drop the shuffle files that were needed to get here.
+    `release` also lets Spark drop the shuffle files that were needed to get here. `batch_rows`: rows
+    that Python workers get at once meanwhile, at most; the session's setting is put back.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    if batch_rows and not 0 < int(before) <= batch_rows:
+        spark.conf.set(rows, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        if spark.conf.get(rows) != before:
+            spark.conf.set(rows, before)
     if release:
         gc.collect()
         spark.sparkContext._jvm.System.gc()

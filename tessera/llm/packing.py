@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ._scale import gapless_rank, parts
-from .tokens import encoder, tokenizer_path
+from .tokens import encoder, tidy, tokenizer_path
 
 WINDOW = 2048
 UNIT = 8
@@ -74,7 +74,7 @@ def token_pieces(
         cols = list(zip(*rows)) or [()] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(cut, encodes=True), schema)
 
 
 def combinations(units: int, depth: int) -> list[tuple[int, ...]]:

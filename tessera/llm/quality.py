@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._linear import logistic, platt, sigmoid
-from ._scale import materialize
+from ._scale import TEXT_ROWS, materialize
+from .tokens import forget, tidy, trim
 from .toxicity import labelled_sample
 
 #: Labelled rows a fit uses, per class, chosen by a hash of doc_id.
@@ -234,7 +235,7 @@ def _features(docs: DataFrame, extra: str = "") -> DataFrame:
 
     cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars")]
     names = [x.split()[0] for x in extra.split(", ") if x]
-    return docs.select(*cols, *names).mapInArrow(run, f"doc_id long, {_FEATURES}" + (", " + extra if extra else ""))
+    return docs.select(*cols, *names).mapInArrow(tidy(run), f"doc_id long, {_FEATURES}" + (", " + extra if extra else ""))
 
 
 #: A row's two views: 260 bytes and 50 floats.
@@ -284,7 +285,7 @@ def _surest(free: DataFrame, k: int, views: dict[str, View], given: dict[str, se
                 [pa.array([v] * n), pa.array([label] * n, pa.int32()), pa.array(ids), pa.array(side), _lists(t, pa.float64()), _lists(m, pa.float64())], ["view", "label", "doc_id", "side", "t", "m"]
             )
 
-    sure = materialize(free.mapInArrow(run, "view string, label int, doc_id long, side double, t array<double>, m array<double>"), "sure")
+    sure = materialize(free.mapInArrow(tidy(run), "view string, label int, doc_id long, side double, t array<double>, m array<double>"), "sure", batch_rows=TEXT_ROWS)
     out = {}
     for v in views:
         for label in (0, 1):
@@ -319,7 +320,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_C
             free = _features(pool.join(F.broadcast(known), "doc_id", "left_anti"))
         else:  # features are moved rather than texts
             free = _features(pool).join(known, "doc_id", "left_anti")
-        free = materialize(free, "free")
+        free = materialize(free, "free", batch_rows=TEXT_ROWS)
         n = free.count()
         k = min(max(1, int(share * n)), max(1, per_class // rounds))
         surest = (lambda views, given: _surest(free, k, views, given)) if n else None
@@ -336,18 +337,17 @@ def score_quality(docs: DataFrame, model: Quality, threshold: float = THRESHOLD)
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few kB
 
-    @F.pandas_udf("double")  # one column out of four: the other columns stay in the JVM
-    def score(text, lang, source, n_chars):
-        import pandas as pd
-
-        if not len(text):
-            return pd.Series([], dtype=float)
-        out = []
+    # one column out of four: the other columns stay in the JVM; a text is a Python string while it is looked at only
+    @F.arrow_udf("double")
+    def score(text: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> pa.Array:
+        forget()
+        out = [np.zeros(0)]
         for at in range(0, len(text), 1000):
-            rows = zip(*(c.iloc[at : at + 1000] for c in (text, lang, source, n_chars)))
-            t, m = zip(*(both_views(x, a, b, None if c is None or c != c else int(c)) for x, a, b, c in rows))
+            page = (c.slice(at, 1000).to_pylist() for c in (lang, source, n_chars))
+            t, m = zip(*(both_views(x.as_py(), *p) for x, *p in zip(text.slice(at, 1000), *page)))
             out.append(shared.value.score(np.stack(t).astype(float), np.stack(m).astype(float)))
-        return pd.Series(np.concatenate(out))
+        trim()
+        return pa.array(np.concatenate(out))
 
     d = docs.drop("quality_score", "quality_keep")
     return d.withColumn("quality_score", score(F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))).withColumn(

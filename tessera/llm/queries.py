@@ -18,7 +18,7 @@ from .sharding import shard_documents
 from .simhash import simhash_dedup
 from .suffixes import remove_repeats
 from .toxicity import score_toxicity, train_toxicity
-from ._scale import materialize
+from ._scale import TEXT_ROWS, materialize
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +28,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all `documents` in sequences of at most 2048 ids."""
-    pieces = materialize(token_pieces(_read(spark, sf_dir, "documents"), with_ids=False), "pieces")
+    pieces = materialize(token_pieces(_read(spark, sf_dir, "documents"), with_ids=False), "pieces", batch_rows=TEXT_ROWS)
     return pack_pieces(pieces).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )

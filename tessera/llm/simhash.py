@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._scale import connected_components, materialize
+from ._scale import TEXT_ROWS, connected_components, materialize
+from .tokens import tidy
 
 SHINGLE = 3
 SEED = 42
@@ -61,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, fp long"
+        tidy(run), "doc_id long, fp long"
     )
 
 
@@ -102,7 +103,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     no other row has that. Rows sharing a doc_id are one node. Other columns are ignored; an
     empty table gives no rows.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+    fps = materialize(fingerprints(docs, id_col, text_col), "fingerprints", batch_rows=TEXT_ROWS)
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id is not null")
     nodes = materialize(nodes, "nodes")
     links = connected_components(near_pairs(nodes, max_bits), "a", "b")

@@ -8,12 +8,16 @@ vocabulary has as an added token, go through the library whole.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import sys
 from array import array
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
+import pyarrow as pa
 
 #: Characters for which the patterns below cut exactly where the library does.
 _PLAIN = "\u0000-ſ‐-‧‰-›€"
@@ -111,3 +115,30 @@ def encoder(path: str, dtype: str = "<u4") -> Encoder:
         _ENCODERS.clear()
         _ENCODERS[key] = Encoder(path, dtype)
     return _ENCODERS[key]
+
+
+def forget() -> None:
+    """Drop the worker's encoder: other operators' tasks run in the same worker."""
+    _ENCODERS.clear()
+
+
+def trim() -> None:
+    """Give what the worker has freed back to the machine."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator], encodes: bool = False) -> Callable[[Iterator], Iterator]:
+    """`run` for a task's batches in a worker that outlives the task: an encoder that an earlier operator
+    left there goes first, unless this one `encodes`, and freed memory is not held on to."""
+
+    def task(batches: Iterator) -> Iterator:
+        if not encodes:
+            forget()
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return task

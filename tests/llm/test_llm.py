@@ -5,20 +5,22 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tessera.llm import _scale, packing, quality, suffixes
+from tessera.llm import _scale, packing, quality, suffixes, tokens
 from tessera.llm.arrow_stream import SequenceFile, read_documents, write_tokens
 from tessera.llm.caps import cap_links
 from tessera.llm.exact import build_mph, exact_dedup, mph_slots
 from tessera.llm.mixing import MIX_SQL, mix_sources, mixed_documents
 from tessera.llm.quality import score_quality, train_quality
 from tessera.llm.sharding import shard_documents
-from tessera.llm.simhash import near_pairs, simhash_dedup
+from tessera.llm.simhash import fingerprints, near_pairs, simhash_dedup
 from tessera.llm.tokens import CUTS, Encoder, tokenizer_path
 from tessera.llm.toxicity import score_toxicity, train_toxicity
 
@@ -687,6 +689,44 @@ def test_pipeline_stages(spark, tmp_path):
     assert Counter(again.itertuples(index=False, name=None)) == Counter(seen[4].itertuples(index=False, name=None))
 
 
+def test_stages_send_workers_few_texts_at_once(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    import corpus_pipeline as cp
+
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, write, seen = spark.conf.get(rows), DataFrameWriter.parquet, {}
+
+    def parquet(self, path, *a, **b):
+        seen[re.search(r"tessera-(\w+)-", path)[1]] = int(spark.conf.get(rows))
+        return write(self, path, *a, **b)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    cp.run(spark, "/root/testdata/sf0.001")
+    assert {seen[x] for x in ("free", "sure", "kept", "fingerprints", "pieces")} == {1000}
+    assert spark.conf.get(rows) == before
+    sizes = spark.range(5000, numPartitions=1).mapInArrow(lambda bs: (b.slice(0, 1) for b in bs), "id long")
+    assert _scale.materialize(sizes, "sizes", batch_rows=1000).count() == 5
+
+
+def test_workers_drop_what_other_operators_left(spark, docs):
+    path = tokenizer_path("byte_bpe_50k.json")
+    tokens.encoder(path)
+    assert list(tokens.tidy(iter, encodes=True)([1])) == [1] and len(tokens._ENCODERS) == 1
+    assert list(tokens.tidy(iter)([1, 2])) == [1, 2] and not tokens._ENCODERS
+
+    def held(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(sys.modules["tessera.llm.tokens"]._ENCODERS)]})
+
+    # one worker: packing leaves an encoder, fingerprints or features take it away
+    d = spark.createDataFrame([(1, "some text", "en", "a", 9)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    for other in (fingerprints(d), quality._features(d)):
+        packing.token_pieces(d, with_ids=False).collect()
+        other.collect()
+        assert [x["n"] for x in d.select("doc_id").mapInArrow(held, "n long").collect()] == [0]
+
+
 def test_stages_take_odd_rows(spark, docs, none, tmp_path):
     import corpus_pipeline as cp
 
