@@ -713,3 +713,57 @@ def test_first_chunks_are_made_once(spark):
     plan = p.store.chunks._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInPandas") == 1 and "Join" not in plan
     assert {x["document_id"] for x in p.store.chunks.collect()} >= {"1"}
+
+
+def test_bm25_of_many_passages_at_once(spark, monkeypatch):
+    """Words of one passage and of all, chunks that are equal, none dealt out by posting: as scored one by one."""
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    text = lambda n: " ".join(r.choices(words, range(60, 0, -1), k=n))
+    data = [(i, text(r.randint(0, 30))) for i in range(300)]
+    data += [(i, data[7][1]) for i in range(300, 340)] + [(340, None)]
+    asked = [(i, text(12)) for i in range(30)] + [(30, data[7][1]), (31, "zebra"), (32, None), (33, "w59 w59")]
+    d = spark.createDataFrame(data, "id int, content string").repartition(3)
+    ix = search.KeywordIndex.build(d)
+    monkeypatch.setattr(search, "PAIRS", 7)
+    got = ix.search(spark.createDataFrame(asked, "query_id int, query string"), 5)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    tokens = {i: (t or "").split() for i, t in data}
+    avg = sum(map(len, tokens.values())) / len(tokens)
+    df = {w: sum(w in t for t in tokens.values()) for w in words}
+    want = []
+    for q, t in asked:
+        s = []
+        for i, have in tokens.items():
+            x = sum(math.log((len(data) - df[w] + 0.5) / (df[w] + 0.5) + 1) * t.split().count(w) * (have.count(w) * 2.5 / (have.count(w) + 1.5 * (0.25 + 0.75 * len(have) / avg))) for w in sorted({*(t or "").split()} & {*have}))
+            s += [(-x, i)] if x > 0 else []
+        want += [(q, n, i, -x) for n, (x, i) in enumerate(sorted(s)[:5], 1)]
+    found = sorted(rows(got, "query_id", "rank", "chunk_id", "score"))
+    assert [x[:3] for x in found] == [x[:3] for x in want] and all(math.isclose(x[3], y[3], rel_tol=1e-12) for x, y in zip(found, want))
+
+
+def test_pipeline_embeds_chunks_once(spark, tmp_path):
+    """One search for prompt and sources, and the texts of hits are looked up without a shuffle of all chunks."""
+    from tessera.plans import document_queries as dq
+
+    noted = str(tmp_path / "n")
+
+    class Counting(HashingEmbedding):
+        def embed_batch(self, texts):
+            with open(noted, "a") as f:
+                f.write(f"{len(texts)}\n")
+            return HashingEmbedding.embed_batch(self, texts)
+
+    e = Counting(64)
+    docs = spark.createDataFrame([(str(i), f"Number {i} is here. " * (i % 7 + 1)) for i in range(50)], "id string, content string")
+    q = spark.createDataFrame([(1, "number 5"), (2, "here is 17")], "query_id int, query string")
+    for make in (pl.simple_rag, pl.advanced_rag):
+        (tmp_path / "n").write_text("")
+        p = make(ExtractiveLLM(), e, dq._empty_store(spark), chunk_size=40, overlap=5)
+        p.ingest(docs)
+        got = p.query(q)
+        assert len(got.where("size(sources) > 0").collect()) == 2
+        given = sum(map(int, (tmp_path / "n").read_text().split()))
+        # the two passages may be embedded again, chunks never
+        assert p.store.chunks.select("id").count() <= given <= p.store.chunks.select("id").count() + 8
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
