@@ -767,3 +767,18 @@ def test_pipeline_embeds_chunks_once(spark, tmp_path):
         # the two passages may be embedded again, chunks never
         assert p.store.chunks.select("id").count() <= given <= p.store.chunks.select("id").count() + 8
         assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
+def test_nearest_of_a_task(spark):
+    """A task hands on each query's k best, however many batches it has; equal vectors by id."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=(500, 8))
+    x[100:400:3] = x[5]
+    q = pa.table({"query_id": pa.array([1, 2, 3]), "embedding": pa.array([x[5].tolist(), x[6].tolist(), [0.0] * 8])})
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + 50)), pa.array(x[i : i + 50].tolist())], ["id", "embedding"]) for i in range(0, 500, 50)]
+    got = pa.Table.from_batches(search._nearest(q, 4, 0.0)(iter(batches[::-1]))).to_pydict()
+    assert len(got["chunk_id"]) == 12
+    assert [c for i, c in zip(got["query_id"], got["chunk_id"]) if i != 2] == [5, 100, 103, 106, 0, 1, 2, 3]
